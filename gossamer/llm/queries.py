@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from gossamer.llm import quality_rules
+from gossamer.llm import piece_codec, quality_rules, rans_files, simhash, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op3_simhash": simhash.op3_simhash,
+    "op4_warc": warc.op4_warc,
+    "op7_rans": rans_files.op7_rans,
+    "op10_sentencepiece": piece_codec.op10_sentencepiece,
 }
 
 ORACLE_SQL = {
     "op1_quality_rules": quality_rules.ORACLE,
+    "op4_warc": warc.ORACLE,
 }
