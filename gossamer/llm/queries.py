@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from gossamer.llm import piece_codec, quality_rules, rans_files, simhash, warc
+from gossamer.llm import piece_codec, quality_rules, rans_files, simhash, substring_dedup, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op3_simhash": simhash.op3_simhash,
     "op4_warc": warc.op4_warc,
     "op7_rans": rans_files.op7_rans,
+    "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_sentencepiece": piece_codec.op10_sentencepiece,
 }
 
 ORACLE_SQL = {
     "op1_quality_rules": quality_rules.ORACLE,
     "op4_warc": warc.ORACLE,
+    "op9_substring_dedup": substring_dedup.ORACLE,
 }
