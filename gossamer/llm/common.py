@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: ASCII white space, U+0009-U+000D and U+0020: what ``bytes.split()`` splits on.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
@@ -63,7 +64,7 @@ def texts(batch: pa.RecordBatch, column: int) -> list[bytes]:
 def map_arrow(
     df: DataFrame,
     function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
-    schema: str,
+    schema: str | T.StructType,
 ) -> DataFrame:
     prepare(df.sparkSession)
     return df.mapInArrow(function, schema)

@@ -197,5 +197,24 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fold
     )
 
 
+def keep_accepted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = FOLDS) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text is accepted; one pass, no join. Rows without a doc_id go."""
+    prepare(docs.sparkSession)
+    model = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, sample, folds))
+    at = docs.columns.index("text")
+
+    def run(batches):
+        idf, axes, labelled, known = model.value
+        for batch in batches:
+            found = [features(t) for t in texts(batch, at)]
+            keep: list[bool] = []
+            for i in range(0, len(found), 512):
+                part = found[i : i + 512]
+                keep += [True] * len(part) if axes is None else (vote(_unit(_matrix(part, idf) @ axes), labelled, known) >= ACCEPT).tolist()
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return map_arrow(docs.filter(F.col("doc_id").isNotNull()), run, docs.schema)
+
+
 def op6_knn_quality(spark, sf_dir: str) -> DataFrame:
     return score_quality(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))

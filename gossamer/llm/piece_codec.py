@@ -262,25 +262,30 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     return map_arrow(id_and_text(docs), run, "doc_id long, ids array<int>, decoded string")
 
 
-def digest_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens and the digests of ids and decoded text, without sending the ids to Spark."""
+def digest_documents(docs: DataFrame, path: str | None = None, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens and the digests of ids and decoded text; ``with_ids`` adds the ids themselves."""
 
     def run(batches):
         own = codec(path or model_path())
         number = [str(i) for i in range(len(own.pieces))]
         for batch in batches:
-            counts, of_ids, of_text = [], [], []
+            counts, of_ids, of_text, kept = [], [], [], []
             for t in texts(batch, 1):
                 ids = own.encode(t.decode())
                 counts.append(len(ids))
                 of_ids.append(hashlib.sha256(",".join([number[i] for i in ids]).encode()).hexdigest())
                 of_text.append(hashlib.sha256(own.decode(ids).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(of_ids), pa.array(of_text)],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    return map_arrow(id_and_text(docs), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+                if with_ids:
+                    kept.append(ids)
+            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())]
+            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            if with_ids:
+                columns.append(pa.array(kept, pa.list_(pa.int32())))
+                names.append("ids")
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return map_arrow(id_and_text(docs), run, schema + (", ids array<int>" if with_ids else ""))
 
 
 def op10_sentencepiece(spark, sf_dir: str) -> DataFrame:
