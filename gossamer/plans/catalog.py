@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gossamer import bindings as B
 from gossamer.functions import codec
 from gossamer.operators import chaos, delivery, monitoring, queueing, scoring, store, topology
+from gossamer.streaming import live
 
 #: Clock of the time-dependent queries: 2024-02-01 in ms.
 AS_OF = 1_706_745_600_000
@@ -485,3 +486,12 @@ def skew_validity(spark, d):
     m = B.messages(spark, d).withColumn("age", F.floor(F.col("value") * 100))
     ok = chaos.valid_under_skew(F.col("age"), 1000 * (F.col("node") % 7), F.lit(0), 20000)
     return m.groupBy("kind").agg(F.count_if(ok).alias("valid"), F.count_if(~ok).alias("rejected"))
+
+
+# -- streams -------------------------------------------------------------
+
+
+@query(f"WITH {M} SELECT DISTINCT node, msg_id FROM messages")
+def stream_distinct_messages(spark, d):
+    """The events as a stream: a TTL beyond their span leaves one copy of each."""
+    return live.run_available(live.deduplicated(live.event_stream(spark, f"{d}/events.parquet"), "3650 days").select("node", "msg_id"))
