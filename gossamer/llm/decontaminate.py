@@ -92,23 +92,28 @@ class Space:
         get = self.vocabulary.get
         return np.fromiter([get(w, -1) for w in words], dtype=np.int64, count=len(words))
 
-    def rows(self, ids: np.ndarray, starts: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
-        """Sparse TF-IDF rows over the vocabulary and full norms (a word outside it counts once each time)."""
-        found, norms = [], np.zeros(len(starts))
-        for k, s in enumerate(starts.tolist()):
-            part = ids[s : s + PASSAGE]
-            inside = part[part >= 0]
-            at, tf = np.unique(inside, return_counts=True)
-            weights = tf * self.idf[at]
-            norms[k] = np.sqrt((weights**2).sum() + (len(part) - len(inside)) * self.outside**2)
-            found.append((at, weights))
-        return found, np.maximum(norms, 1e-12)
-
-    def fold(self, found: list[tuple[np.ndarray, np.ndarray]], norms: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(found), self.axes.shape[1]), dtype=np.float32)
-        for k, (at, weights) in enumerate(found):
-            out[k] = weights.astype(np.float32) @ self.axes[at]
-        return out / norms[:, None].astype(np.float32)
+    def rows(self, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Unit TF-IDF rows of passages, as (word ids, weights) of PASSAGE columns; a word of the vocabulary counts once.
+
+        Words outside it count in the norm, each time. Unused columns have weight 0.
+        """
+        padded = np.concatenate([ids, np.full(PASSAGE, -2)])
+        at = np.sort(padded[starts[:, None] + np.arange(PASSAGE)[None, :]], axis=1)
+        counts = at >= 0
+        counts[:, 1:] &= at[:, 1:] != at[:, :-1]
+        outside = (at == -1).sum(axis=1)
+        at = np.where(counts, at, 0)
+        weights = np.where(counts, self.idf[at], 0.0)
+        norms = np.sqrt((weights**2).sum(axis=1) + outside * self.outside**2)
+        return at, weights / np.maximum(norms, 1e-12)[:, None]
+
+    def fold(self, at: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Coordinates of rows in the space."""
+        weights = weights.astype(np.float32)
+        out = np.zeros((len(at), self.axes.shape[1]), dtype=np.float32)
+        for c in np.nonzero(weights.any(axis=0))[0]:
+            out += weights[:, c : c + 1] * self.axes[at[:, c]]
+        return out
 
     def near(self, ids: np.ndarray, cosine: float = COSINE) -> list[tuple[int, int, float]]:
         """(first word, item, cosine) of the passages that are near one of an item's."""
@@ -119,13 +124,12 @@ class Space:
         weight = np.where(ids >= 0, inside, self.outside**2)
         ends = np.minimum(starts + PASSAGE, len(ids))
         a, b = (np.concatenate([[0.0], np.cumsum(x)]) for x in (inside, weight))
-        # a repeated word weighs more in the row than in these sums, hence half the threshold
-        able = (a[ends] - a[starts]) >= (cosine / 2) ** 2 * (b[ends] - b[starts])
+        # a row's norm inside the vocabulary bounds its product with any unit vector, and these sums bound that norm
+        able = (a[ends] - a[starts]) >= cosine**2 * (b[ends] - b[starts])
         starts = starts[able]
         if not len(starts):
             return []
-        found, norms = self.rows(ids, starts)
-        near = self.fold(found, norms) @ self.passages.T
+        near = np.concatenate([self.fold(*self.rows(ids, starts[i : i + 512])) @ self.passages.T for i in range(0, len(starts), 512)])
         hits: dict[tuple[int, int], float] = {}
         for k, q in zip(*np.nonzero(near >= cosine)):
             key = (int(starts[k]), int(self.item_of[q]))
@@ -141,12 +145,11 @@ def _fit_part(space: Space, q: np.ndarray | None, docs: list[bytes], width: int,
         words = words_of(text)
         if not words:
             continue
-        found, norms = space.rows(space.ids(words), starts_of(len(words)))
+        at, weights = space.rows(space.ids(words), starts_of(len(words)))
         draw = np.random.default_rng([seed, n, len(words)])
-        for (at, weights), norm in zip(found, norms):
-            row = weights / norm
-            y = draw.standard_normal(width) if q is None else row @ q[at]
-            out[at] += row[:, None] * y[None, :]
+        for columns, row in zip(at, weights):
+            y = draw.standard_normal(width) if q is None else row @ q[columns]
+            np.add.at(out, columns, row[:, None] * y[None, :])
     return out
 
 
