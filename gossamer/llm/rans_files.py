@@ -20,6 +20,7 @@ an empty manifest. Other columns are ignored.
 from __future__ import annotations
 
 import json
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -42,8 +43,8 @@ TABLE_BITS = 20
 #: States of a lane live in [LOW, LOW * 2^32) and shift 32 bits at a time.
 LOW = 1 << 31
 MAGIC = b"GRNS0001"
-#: Words a worker keeps the ids of; no result depends on it.
-KEPT = 300_000
+#: Words that each of a worker's two tables holds; no result depends on it.
+KEPT = 450_000
 MANIFEST = "file string, first_doc long, last_doc long, documents long, tokens long, bytes long, sha_crc long"
 
 
@@ -54,30 +55,58 @@ class WordTokens:
     """Ids (little-endian unsigned 32-bit) of texts by the tokenizers library, word by word.
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of
-    its words. Only words that are not in the bounded table go to the library, each batch's once.
+    its words. Only words that are not in the tables go to the library, each batch's once
+    and many to a call, told apart by a mark that is a token of its own. There are two tables of
+    KEPT words at most: when the younger one is full it becomes the older one, which is dropped.
     """
 
+    MARK = "\x01"
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks share the cores already
         self.tokenizer = Tokenizer.from_file(path)
-        self.table: dict[bytes, bytes] = {}
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        mark = self._ids(self.MARK)
+        self.mark = mark[0] if len(mark) == 1 else None
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _learn(self, words: list[bytes]) -> None:
+        table = self.young
+        alone = [w for w in words if b"\x01" in w or b"<|" in w or self.mark is None]
+        plain = words if not alone else [w for w in words if not (b"\x01" in w or b"<|" in w or self.mark is None)]
+        for w in alone:
+            ids = self._ids(w.decode())
+            table[w] = struct.pack(f"<{len(ids)}I", *ids)
+        for i in range(0, len(plain), 256):
+            part = plain[i : i + 256]
+            ids = np.array(self._ids(f" {self.MARK} ".join([w.decode() for w in part])), dtype="<u4")
+            at = np.nonzero(ids == self.mark)[0]
+            if len(at) != len(part) - 1:
+                raise ValueError("the mark does not tell the words apart")
+            raw = ids.tobytes()
+            start = 0
+            for w, end in zip(part, [*at.tolist(), len(ids)]):
+                table[w] = raw[4 * start : 4 * end]
+                start = end + 1
 
     def batch(self, docs: list[bytes]) -> list[bytes]:
         split = [d.split() for d in docs]
-        table = self.table
-        new = set().union(*split) - table.keys() if split else set()
-        if len(table) + len(new) > KEPT:
-            # keep the words of this batch, then as many of the others as fit
-            used = set().union(*split)
-            spare = [k for k in table if k not in used]
-            for k in spare[: max(0, min(len(spare), len(table) + len(new) - KEPT // 2))]:
-                del table[k]
-        words = list(new)
-        for i in range(0, len(words), 4096):
-            part = words[i : i + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)):
-                table[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+        used = set().union(*split)
+        if len(self.young) + len(used) > KEPT:
+            self.old, self.young = self.young, {}
+        table, old, new = self.young, self.old, []
+        for w in used - table.keys():
+            ids = old.get(w)
+            if ids is None:
+                new.append(w)
+            else:
+                table[w] = ids
+        self._learn(new)
         return [b"".join([table[w] for w in words]) for words in split]
 
 
