@@ -198,6 +198,17 @@ def shard_bounds(sizes: DataFrame, shard_bytes: int) -> list[int]:
     return bounds
 
 
+def _shard_of(page_id, bounds: list[int], step: int = 64):
+    """Number of the last bound that is not above page_id: first among every 64th bound, then within that run."""
+    array = lambda x: F.array(*[F.lit(b).cast("long") for b in x])
+    if not bounds:
+        return F.lit(0).cast("long")
+    below = lambda a: F.size(F.filter(a, lambda b: b <= page_id)) - 1
+    head = below(array(bounds[::step]))
+    runs = F.array(*[array(bounds[i : i + step]) for i in range(0, len(bounds), step)])
+    return (head * step + below(F.element_at(runs, head + 1))).cast("long")
+
+
 def write_warc(
     pages: DataFrame,
     folder: str,
@@ -231,9 +242,7 @@ def write_warc(
     bounds = shard_bounds(facts.select("page_id", "size"), shard_bytes)
     fs, path = open_fs(folder)
     fs.create_dir(path, recursive=True)
-    starts = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<long>")
-    # page ids of a shard, by the last bound that is not above them
-    shard = F.size(F.filter(starts, lambda b: b <= F.col("page_id"))).cast("long") - 1
+    shard = _shard_of(F.col("page_id"), bounds)
     # a page's role travels beside it and sorts just before it, so the payloads are dealt once and never joined
     tagged = rows.select("page_id", F.lit(1).alias("kind"), "url", "html", F.lit(None).cast("long").alias("refers_to")).union(
         revisits.select("page_id", F.lit(0), F.lit(None).cast("string"), F.lit(None).cast("binary"), "least")

@@ -139,3 +139,11 @@ def test_encoded_documents(spark, library):
         assert r["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256(library.decode(ids).encode()).hexdigest()
     assert piece_codec.digest_documents(df.limit(0)).count() == 0
+
+
+def test_shard_of_many_bounds(spark):
+    from bisect import bisect_right
+
+    bounds = [0, *sorted(random.Random(3).sample(range(1, 5000), 200))]
+    got = spark.range(0, 6000, 7).select("id", warc._shard_of(__import__("pyspark").sql.functions.col("id"), bounds).alias("s")).collect()
+    assert all(r["s"] == bisect_right(bounds, r["id"]) - 1 for r in got)
