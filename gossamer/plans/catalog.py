@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gossamer import bindings as B
-from gossamer.functions import codec
-from gossamer.operators import chaos, delivery, monitoring, queueing, scoring, store, topology
+from gossamer.functions import codec, compression
+from gossamer.operators import caching, chaos, delivery, monitoring, queueing, scoring, store, topology, tuning
+from gossamer.sources import text
 from gossamer.streaming import live
 
 #: Clock of the time-dependent queries: 2024-02-01 in ms.
@@ -495,3 +496,125 @@ def skew_validity(spark, d):
 def stream_distinct_messages(spark, d):
     """The events as a stream: a TTL beyond their span leaves one copy of each."""
     return live.run_available(live.deduplicated(live.event_stream(spark, f"{d}/events.parquet"), "3650 days").select("node", "msg_id"))
+
+
+# -- caches and tuning ---------------------------------------------------
+
+
+@query(f"WITH {M} SELECT xor(ts, seq) & 15 AS shard, count(*) AS entries, round(count(*) / 10000, 6) AS share, round(count(*) / 10000, 6) > 0.8 AS near_capacity FROM messages GROUP BY ALL")
+def seen_shards(spark, d):
+    m = B.messages(spark, d).withColumn("shard", caching.shard_index(F.col("ts"), F.col("seq")))
+    return caching.utilization(m, "shard", 10_000)
+
+
+@query(f"""WITH {M}, s AS (SELECT seq, ts, xor(ts, seq) & 15 AS shard FROM messages)
+SELECT seq, shard FROM s QUALIFY row_number() OVER (PARTITION BY shard ORDER BY ts, seq) > floor(count(*) OVER (PARTITION BY shard) * 0.1)""")
+def emergency_evict(spark, d):
+    m = B.messages(spark, d).withColumn("shard", caching.shard_index(F.col("ts"), F.col("seq")))
+    return caching.emergency_evict(m, "shard").select("seq", "shard")
+
+
+@query(f"WITH {M}, l AS (SELECT kind, node, max(ts) AS last FROM messages GROUP BY ALL) SELECT kind, arg_min(node, (last, node)) AS victim FROM l GROUP BY kind")
+def lru_pick(spark, d):
+    return caching.least_recently_used(B.messages(spark, d), "kind", "node")
+
+
+@query(f"WITH {M} SELECT node, max(ts) AS last FROM messages GROUP BY node HAVING {AS_OF} - max(ts) > {4 * DAY}")
+def idle_cleanup(spark, d):
+    return caching.idle(B.messages(spark, d), "node", AS_OF, 4 * DAY)
+
+
+@query(f"""WITH {M} SELECT node, seq, CAST(sum(33 + octet_length(encode(payload))) OVER (PARTITION BY node ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used
+FROM messages QUALIFY used <= 980""")
+def budget_packing(spark, d):
+    m = B.messages(spark, d).withColumn("size", (33 + F.octet_length("payload")).cast("long"))
+    return caching.pack(m, "node", "size", int(1400 * 0.7)).select("node", "seq", "used")
+
+
+@query(f"WITH {P} SELECT cluster, node, row_number() OVER (PARTITION BY cluster ORDER BY sha256('lazy:' || node)) AS rank FROM peers QUALIFY rank <= 3")
+def lazy_sample(spark, d):
+    return caching.sample_peers(B.peers(spark, d), "cluster", "node", 3, "lazy")
+
+
+@query(f"""WITH RECURSIVE {M}, c AS (SELECT kind, ts // {DAY} * {DAY} AS bucket, count(*) AS n FROM messages GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY bucket) AS k FROM c),
+f AS (SELECT kind, bucket, n, k, n::DOUBLE AS ema FROM o WHERE k = 1
+  UNION ALL SELECT o.kind, o.bucket, o.n, o.k, 0.25::DOUBLE * o.n + 0.75::DOUBLE * f.ema FROM f JOIN o ON o.kind = f.kind AND o.k = f.k + 1)
+SELECT kind, bucket, round(ema, 6) AS ema, CASE WHEN k <= 3 THEN 'unknown' WHEN ema - lag(ema) OVER w > 0.5 THEN 'up' WHEN ema - lag(ema) OVER w < -0.5 THEN 'down' ELSE 'flat' END AS trend
+FROM f WINDOW w AS (PARTITION BY kind ORDER BY bucket)""")
+def rate_trend(spark, d):
+    counts = monitoring.tumbling_counts(B.messages(spark, d), DAY, "kind")
+    out = tuning.trend(tuning.smoothed(counts, "kind", "n", 0.25), "kind", 0.5, 3)
+    return out.select("kind", "bucket", F.round("ema", 6).alias("ema"), "trend")
+
+
+@query(f"""WITH {M}, a AS (SELECT node, payload, min(ts) AS requested FROM messages WHERE kind = 'signup' GROUP BY ALL),
+f AS (SELECT a.node, a.payload, min(m.ts) AS came FROM a JOIN messages m ON m.node = a.node AND m.payload = a.payload AND m.kind = 'view' AND m.ts BETWEEN a.requested AND a.requested + {7 * DAY} GROUP BY ALL)
+SELECT a.node, a.payload, requested, came - requested AS latency FROM a LEFT JOIN f USING (node, payload)""")
+def graft_outcomes(spark, d):
+    m = B.messages(spark, d)
+    return tuning.graft_outcomes(m.filter("kind = 'signup'"), m.filter("kind = 'view'"), 7 * DAY)
+
+
+@query(f"""WITH {M}, alt AS (SELECT payload, list_sort(list(DISTINCT node)) AS alts FROM messages WHERE kind = 'click' GROUP BY payload)
+SELECT m.seq, r.retry, CASE WHEN coalesce(len(alts), 0) > 0 THEN alts[(r.retry - 1) % len(alts) + 1] ELSE m.node END AS peer
+FROM messages m LEFT JOIN alt USING (payload), (SELECT unnest(range(1, 4)) AS retry) r WHERE m.kind = 'signup'""")
+def retry_alternates(spark, d):
+    m = B.messages(spark, d)
+    alts = m.filter("kind = 'click'").groupBy("payload").agg(F.sort_array(F.collect_set("node")).alias("alts"))
+    asked = m.filter("kind = 'signup'").join(alts, "payload", "left").withColumn("retry", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(3).cast("long"))))
+    return asked.select("seq", "retry", tuning.alternate(F.coalesce("alts", F.array().cast("array<bigint>")), F.col("node"), F.col("retry")).alias("peer"))
+
+
+@query(f"""WITH {M}, r AS (SELECT node, kind = 'view' AS eager, lag(kind = 'view') OVER (PARTITION BY node ORDER BY ts, seq) AS before FROM messages)
+SELECT node, count(*) FILTER (before <> eager) AS flaps FROM r GROUP BY node""")
+def role_flaps(spark, d):
+    return tuning.role_flaps(B.messages(spark, d), "node", F.col("kind") == "view")
+
+
+@query(f"""WITH {M}, h AS ({_HEALTH})
+SELECT node, round(greatest(4, least(64, 16 * CASE WHEN cache_use * 500 < 20 THEN 0.75 WHEN cache_use * 500 > 200 THEN 1.5 ELSE 1.0 END
+  * CASE WHEN pending > 20 AND 1 - failure_rate < 0.8 THEN 0.6 + 0.4 * (1 - failure_rate) ELSE 1.0 END
+  * CASE WHEN peers > 100 THEN 1 + 0.2 * ln(peers / 100) ELSE 1.0 END)), 6) AS size FROM h""")
+def adaptive_batch_size(spark, d):
+    n = B.messages(spark, d).groupBy("node").agg(
+        F.count_distinct("msg_id").alias("peers"),
+        F.round(F.count_if(F.col("kind") == "error") / F.count("*"), 6).alias("failure"),
+        F.count_if(F.col("kind") == "click").alias("pending"),
+        F.avg("value").alias("latency"),
+    )
+    size = tuning.batch_size(F.lit(16), F.col("latency"), F.col("pending"), 1 - F.col("failure"), F.col("peers"))
+    return n.select("node", F.round(size, 6).alias("size"))
+
+
+@query(f"""WITH {Q} SELECT queue, count(*) FILTER (class = 0) AS critical, count(*) FILTER (class = 1) AS high, count(*) FILTER (class = 2) AS normal,
+  count(*) FILTER (class = 3) AS low FROM items GROUP BY queue""")
+def queue_depths(spark, d):
+    names = ["critical", "high", "normal", "low"]
+    label = F.element_at(F.array(*[F.lit(x) for x in names]), F.col("class") + 1)
+    return B.queue_items(spark, d).withColumn("label", label).groupBy("queue").pivot("label", names).count().na.fill(0)
+
+
+@query(f"""WITH {M} SELECT 'messages_' || kind || '_total' AS metric, node::VARCHAR AS label, count(*)::DOUBLE AS number, 'counter' AS kind FROM messages GROUP BY messages.kind, node""")
+def metrics_text(spark, d):
+    """Exposition lines written from the counts, then parsed."""
+    counts = B.messages(spark, d).groupBy("kind", "node").count()
+    lines = counts.select(F.format_string('messages_%s_total{node="%d"} %d', "kind", "node", "count").alias("value"))
+    return text.parse_metrics(lines.union(lines.select(F.concat(F.lit("# HELP "), "value"))))
+
+
+@query(f"WITH {S} SELECT id, octet_length(encode(payload)) AS size, true AS same FROM stored")
+def compression_roundtrip(spark, d):
+    s = B.stored(spark, d).withColumn("raw", F.col("payload").cast("binary"))
+    packed = s.withColumn("packed", compression.pack("raw"))
+    return packed.select("id", F.length("raw").cast("long").alias("size"), (compression.unpack("packed") == F.col("raw")).alias("same"))
+
+
+@query()
+def compression_ratio(spark, d):
+    """bytes in and out, compressed and skipped payloads per round (gzip's own bytes differ between builds: rows only)."""
+    s = B.stored(spark, d).select("round", F.col("payload").cast("binary").alias("raw")).withColumn("packed", compression.pack("raw"))
+    flag = F.substring("packed", 1, 1) == F.lit(bytearray([3]))
+    return s.groupBy("round").agg(
+        F.sum(F.length("raw")).alias("bytes_in"), F.sum(F.length("packed")).alias("bytes_out"), F.count_if(flag).alias("compressed"), F.count_if(~flag).alias("skipped")
+    )
