@@ -49,6 +49,8 @@ def test_article_of_a_page():
         ("<article>a <b", "a"),
         ("<main><p>x</p></div></span>y</main>z", "x y"),
         ('<div hidden>h</div><p title="a>b">q</p>', "q"),
+        ('<body class="has-sidebar comments"><article class="post header">k<article class="comment">c</article></article>', "k"),
+        ('<div class="page no-comments"><article>k</article><div id="cookie-notice">c</div></div>', "k"),
         ("<article>1 &lt; 2 <a href=x>l</a>.</article>", "1 < 2 l."),
     ],
 )
