@@ -71,20 +71,41 @@ class WordTokens:
         self.old: dict[bytes, bytes] = {}
         mark = self._ids(self.MARK)
         self.mark = mark[0] if len(mark) == 1 else None
+        self.stops = {ord(c): struct.pack(f"<{len(x)}I", *x) for c in ".," for x in [self._ids(c)]}
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _learn(self, words: list[bytes]) -> None:
+        table, old = self.young, self.old
+        # a stop or comma after an ASCII letter or digit is a token's end of its own, so the word before it is looked up alone
+        ends = {w: w[:-1] for w in words if w[-1] in b".," and w[-2:-1].isalnum()}
+        wanted = set(words).difference(ends)
+        for base in ends.values():
+            if base not in table:
+                ids = old.get(base)
+                if ids is None:
+                    wanted.add(base)
+                else:
+                    table[base] = ids
+        self._ask([w for w in wanted if w not in table])
+        for w, base in ends.items():
+            table[w] = table[base] + self.stops[w[-1]]
+
+    def _ask(self, words: list[bytes]) -> None:
         table = self.young
-        alone = [w for w in words if b"\x01" in w or b"<|" in w or self.mark is None]
-        plain = words if not alone else [w for w in words if not (b"\x01" in w or b"<|" in w or self.mark is None)]
-        for w in alone:
-            ids = self._ids(w.decode())
-            table[w] = struct.pack(f"<{len(ids)}I", *ids)
-        for i in range(0, len(plain), 256):
-            part = plain[i : i + 256]
-            ids = np.array(self._ids(f" {self.MARK} ".join([w.decode() for w in part])), dtype="<u4")
+        plain = []
+        for w in words:
+            if b"\x01" in w or b"<|" in w or self.mark is None:
+                ids = self._ids(w.decode())
+                table[w] = struct.pack(f"<{len(ids)}I", *ids)
+            else:
+                plain.append(w)
+        parts = [plain[i : i + 32] for i in range(0, len(plain), 32)]
+        joined = [f" {self.MARK} ".join([w.decode() for w in part]) for part in parts]
+        # (the fast form leaves out the offsets, which are not needed)
+        for part, encoded in zip(parts, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
+            ids = np.array(encoded.ids, dtype="<u4")
             at = np.nonzero(ids == self.mark)[0]
             if len(at) != len(part) - 1:
                 raise ValueError("the mark does not tell the words apart")
@@ -95,7 +116,8 @@ class WordTokens:
                 start = end + 1
 
     def batch(self, docs: list[bytes]) -> list[bytes]:
-        split = [d.split() for d in docs]
+        # the tokenizer lower-cases all but its special tokens
+        split = [(d if b"<|" in d else d.lower()).split() for d in docs]
         used = set().union(*split)
         if len(self.young) + len(used) > KEPT:
             self.old, self.young = self.young, {}
