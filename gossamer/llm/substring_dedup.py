@@ -1,7 +1,7 @@
 """Removal of repeated passages: Rabin-Karp hashes of every window of words, counted in Spark.
 
 Every window of ``WINDOW`` consecutive words of a document gets a rolling polynomial hash
-modulo 2^64 (twice, with two bases). A window that occurs earlier, in a document with a
+modulo 2^64, and 16 bits of a second one with another base, so 80 bits tell windows apart. A window that occurs earlier, in a document with a
 smaller id or further up in its own, is repeated; the words that repeated windows cover
 are merged into maximal intervals and removed.
 
@@ -140,7 +140,7 @@ def _packed(docs: DataFrame) -> DataFrame:
 
 def _windows(joined: DataFrame, window: int, anchor: int) -> DataFrame:
     """Windows with a repeated anchor (doc_id, packed, anchors): hashes and starts of each one's first occurrence, and the starts of later ones."""
-    schema = "doc_id long, packed binary, h1 array<long>, h2 array<long>, at array<int>, again array<int>"
+    schema = "doc_id long, packed binary, h1 array<long>, h2 array<smallint>, at array<int>, again array<int>"
 
     def run(batches):
         rolling, unpack = Rolling(), zstandard.ZstdDecompressor()
@@ -153,16 +153,16 @@ def _windows(joined: DataFrame, window: int, anchor: int) -> DataFrame:
                 wanted = np.unique(anchors.values.to_numpy(zero_copy_only=False)).astype(np.int64).view(np.uint64)
                 at = np.nonzero(np.isin(least, wanted))[0]
                 h1 = rolling.runs(sums, BASES[0], window)[at]
-                h2 = rolling.runs(rolling.sums(words, BASES[1]), BASES[1], window)[at]
+                h2 = (rolling.runs(rolling.sums(words, BASES[1]), BASES[1], window)[at] >> np.uint64(48)).astype(np.uint16)
                 # equal windows of one document side by side, the earliest first
                 order = np.lexsort((at, h2, h1))
                 a, b, p = h1[order], h2[order], at[order]
                 new = np.ones(len(p), dtype=bool)
                 new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-                for column, values in zip(out, (a[new].view(np.int64), b[new].view(np.int64), p[new].astype(np.int32), np.sort(p[~new]).astype(np.int32))):
+                for column, values in zip(out, (a[new].view(np.int64), b[new].view(np.int16), p[new].astype(np.int32), np.sort(p[~new]).astype(np.int32))):
                     column.append(values)
             lists = []
-            for column, kind in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32())):
+            for column, kind in zip(out, (pa.int64(), pa.int16(), pa.int32(), pa.int32())):
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in column])]).astype(np.int32)
                 lists.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(column) if column else [], kind)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names=["doc_id", "packed", "h1", "h2", "at", "again"])
