@@ -14,8 +14,8 @@ key is the response; the others are revisits that name it and carry its digest a
 instead of the payload.
 
 Edge cases: a null html is an empty payload. A null url is written as an empty target.
-Rows without a page_id are no records. Repeated page_ids are refused (a record id names
-one record). An empty table gives an empty manifest and no files. Other columns are ignored.
+Rows without a page_id are no records. Of rows with one page_id each is written, and the record
+ids of all but the first carry a running number. An empty table gives an empty manifest and no files. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -54,8 +54,12 @@ def sha1_base32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_urn(page_id: int) -> str:
-    return f"urn:gossamer:page:{page_id}"
+def record_urn(page_id: int, repeat: int = 0) -> str:
+    return f"urn:gossamer:page:{page_id}" + (f":{repeat}" if repeat else "")
+
+
+def page_of(urn: str) -> int:
+    return int(urn.strip("<>").split(":")[3])
 
 
 def _headers(pairs: list[tuple[str, str]], block: bytes) -> bytes:
@@ -63,13 +67,13 @@ def _headers(pairs: list[tuple[str, str]], block: bytes) -> bytes:
     return head.encode() + f"Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
 
 
-def render(page_id: int, url: str, payload: bytes, refers_to: int | None) -> bytes:
+def render(page_id: int, url: str, payload: bytes, refers_to: int | None, repeat: int = 0) -> bytes:
     """One record: an HTTP response, or a revisit that holds its HTTP headers alone."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
     pairs = [
         ("WARC-Type", "response" if refers_to is None else "revisit"),
-        ("WARC-Record-ID", f"<{record_urn(page_id)}>"),
+        ("WARC-Record-ID", f"<{record_urn(page_id, repeat)}>"),
         ("WARC-Date", CAPTURED),
         ("WARC-Target-URI", url.replace("\r", "%0D").replace("\n", "%0A")),
         ("WARC-Payload-Digest", f"sha1:{sha1_base32(payload)}"),
@@ -125,22 +129,23 @@ class _File:
 
 
 def _writer(folder_uri: str, roll_bytes: int):
-    """Streams sorted rows (page_id, kind, url, html, refers_to, shard) into files; a role precedes its page."""
+    """Streams sorted rows (page_id, kind, url, html, refers_to, shard) into files; roles (their html is the payload's hash) precede their pages."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, folder = open_fs(folder_uri)
         context = TaskContext.get()
         attempt = f"{context.stageId()}-{context.taskAttemptId()}"
-        current, number, done, last, role = None, 0, [], None, None
+        current, number, done, last, repeat = None, 0, [], None, 0
+        roles: tuple[int | None, dict[bytes, int]] = (None, {})  # of one page_id: payload hash to the page it repeats
         for batch in batches:
             ids, kinds, refers, shards = (batch.column(i).to_pylist() for i in (0, 1, 4, 5))
             urls, pages = texts(batch, 2), texts(batch, 3)
             for page_id, kind, least, shard, url, page in zip(ids, kinds, refers, shards, urls, pages):
                 if kind == 0:
-                    role = (page_id, least)
+                    roles = roles if roles[0] == page_id else (page_id, {})
+                    roles[1][page] = least
                     continue
-                if last == (shard, page_id):
-                    raise ValueError(f"page_id {page_id} occurs twice")
+                repeat = repeat + 1 if last == (shard, page_id) else 0
                 if current and (current.shard != shard or current.size >= roll_bytes):
                     number = number + 1 if current.shard == shard else 0
                     done.append(current.close())
@@ -148,8 +153,8 @@ def _writer(folder_uri: str, roll_bytes: int):
                 if current is None:
                     number = 0 if last is None or last[0] != shard else number
                     current = _File(fs, folder, shard, number, attempt)
-                refers_to = role[1] if role and role[0] == page_id else None
-                current.add(page_id, render(page_id, url.decode(), page, refers_to))
+                refers_to = roles[1].get(hashlib.sha256(page).digest()) if roles[0] == page_id else None
+                current.add(page_id, render(page_id, url.decode(), page, refers_to, repeat))
                 last = (shard, page_id)
         if current:
             done.append(current.close())
@@ -238,19 +243,19 @@ def write_warc(
         .filter("n > 1")
         .drop("n")
     )
-    revisits = facts.join(firsts, "same").filter(F.col("least") < F.col("page_id")).select("page_id", "least")
+    revisits = facts.join(firsts, "same").filter(F.col("least") < F.col("page_id")).select("page_id", "same", "least")
     bounds = shard_bounds(facts.select("page_id", "size"), shard_bytes)
     fs, path = open_fs(folder)
     fs.create_dir(path, recursive=True)
     shard = _shard_of(F.col("page_id"), bounds)
     # a page's role travels beside it and sorts just before it, so the payloads are dealt once and never joined
     tagged = rows.select("page_id", F.lit(1).alias("kind"), "url", "html", F.lit(None).cast("long").alias("refers_to")).union(
-        revisits.select("page_id", F.lit(0), F.lit(None).cast("string"), F.lit(None).cast("binary"), "least")
+        revisits.select("page_id", F.lit(0), F.lit(None).cast("string"), "same", "least")
     )
     dealt = (
         tagged.withColumn("shard", shard)
-        .repartitionByRange(max(1, len(bounds)), "shard")
-        .sortWithinPartitions("shard", "page_id", "kind")
+        .repartitionById(max(1, len(bounds)), F.col("shard").cast("int"))
+        .sortWithinPartitions("shard", "page_id", "kind", "url", "html")
     )
     manifest = map_arrow(dealt, _writer(folder, roll_bytes), MANIFEST)
     manifest.write.mode("errorifexists").parquet(f"{folder}/manifest")
@@ -308,19 +313,18 @@ def _decoded(headers: dict[str, str], block: bytes) -> tuple:
         raise ValueError(f"block digest of {headers['warc-record-id']} does not hold")
     head, _, payload = block.partition(b"\r\n\r\n")
     size = next(int(x.split(b":")[1]) for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:"))
-    number = lambda urn: int(urn.strip("<>").rpartition(":")[2])
     digest = headers["warc-payload-digest"].removeprefix("sha1:")
     revisit = headers["warc-type"] == "revisit"
     if not revisit and (len(payload) != size or sha1_base32(payload) != digest):
         raise ValueError(f"payload of {headers['warc-record-id']} does not hold")
     return (
-        number(headers["warc-record-id"]),
+        page_of(headers["warc-record-id"]),
         headers["warc-target-uri"],
         None if revisit else payload.decode(),
         size,
         digest,
         headers["warc-type"],
-        number(headers["warc-refers-to"]) if revisit else None,
+        page_of(headers["warc-refers-to"]) if revisit else None,
     )
 
 
