@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 from collections.abc import Callable, Iterator
@@ -66,8 +67,15 @@ def map_arrow(
     function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
     schema: str | T.StructType,
 ) -> DataFrame:
+    """``mapInArrow`` whose worker hands free memory back after each task, as workers live through many stages."""
     prepare(df.sparkSession)
-    return df.mapInArrow(function, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(run, schema)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ from gossamer.llm.common import id_and_text, map_arrow, texts
 SPACE = "▁"
 MODEL = "piece_bpe_32k.model"
 #: Finished segments a worker keeps; the oldest half goes when there are more. No result depends on it.
-KEPT = 300_000
+KEPT = 150_000
 #: Longer segments are encoded but not kept.
 KEPT_LENGTH = 64
 
@@ -74,7 +74,7 @@ class PieceCodec:
         if any(b == SPACE and a != SPACE for a, b in pairs):
             raise ValueError("a piece continues past a word's end")
         self.segments = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
-        self.compatible = lru_cache(1 << 18)(self._compatible)
+        self.compatible = lru_cache(1 << 16)(self._compatible)
         self.done: dict[str, tuple[int, ...]] = {}
         self.plain = [self._plain(i) for i in range(len(self.pieces))]
 
