@@ -8,6 +8,11 @@ passage's full TF-IDF norm, so text that is about something else scores low. Wha
 reach the threshold, as its words outside the benchmark carry too much weight, is not
 multiplied out.
 
+What the cosine loses, as words outside the benchmark weigh the more the larger the corpus and
+the fewer words of a passage are the item's, a count finds: where a region holds ``COVERAGE`` of an
+item in order, it holds as many of the item's words in any order. Places where it doesn't are the only
+ones left out, so the candidates hold all that the verification accepts, whatever the corpus.
+
 Candidates are then verified: an item is found where the longest common subsequence of its
 words and the text around the passage covers ``COVERAGE`` of the item, and that of its
 answer, the last line or sentence, ``ANSWER_COVERAGE`` of the answer. Word order and changed
@@ -18,12 +23,13 @@ nearly all of their passages, and ``BLOCKS`` blocks share a reading of the docum
 what is broadcast.
 
 Edge cases: null or empty texts and items match nothing. An item of fewer than ``LEAST_WORDS``
-words is too short to tell and is not searched. Rows without a doc_id or item_id are
+words is found where all its words stand in a row, and nowhere else. Rows without a doc_id or item_id are
 ignored; of equal item_ids each is searched. Empty tables give no hits. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 
@@ -41,6 +47,8 @@ PASSAGE, STRIDE, COSINE = 24, 8, 0.45
 COVERAGE, ANSWER_COVERAGE, LEAST_WORDS = 0.7, 0.5, 8
 #: Dimensions of a space, rounds of the SVD, words of a block of items, blocks that share a reading.
 DIMENSIONS, ROUNDS, BLOCK_WORDS, BLOCKS = 384, 3, 8_000, 8
+#: Words of a text whose passages are counted together.
+REACH = 512
 #: Rows of the summed products that travel together.
 ROWS = 512
 
@@ -87,6 +95,19 @@ class Space:
         self.outside = float(idf.max()) if len(idf) else 1.0
         self.axes = self.passages = self.item_of = None
         self.items: list[tuple[int, list[bytes], list[bytes]]] = []
+        self.short: dict[bytes, list[tuple[int, list[bytes]]]] = {}
+
+    def hold(self, items: list[tuple[int, list[bytes], list[bytes]]], short: list[tuple[int, list[bytes]]]) -> None:
+        """Take the items: how often each has each of its words, and the short ones by their rarest word."""
+        self.items = items
+        bags = [np.unique(self.ids(w), return_counts=True) for _, w, _ in items]
+        self.needed = np.array([math.ceil(COVERAGE * len(w)) for _, w, _ in items], dtype=np.int64)
+        self.first = np.cumsum([0, *(len(b) for b, _ in bags)])
+        self.bag_words = np.concatenate([b for b, _ in bags]) if bags else np.zeros(0, dtype=np.int64)
+        self.bag_times = np.concatenate([t for _, t in bags]) if bags else np.zeros(0, dtype=np.int64)
+        self.longest = max((len(w) for _, w, _ in items), default=0)
+        for item_id, w in short:
+            self.short.setdefault(max(w, key=lambda x: self.idf[self.vocabulary[x]]), []).append((item_id, w))
 
     def ids(self, words: list[bytes]) -> np.ndarray:
         get = self.vocabulary.get
@@ -136,6 +157,59 @@ class Space:
             hits[key] = max(hits.get(key, 0.0), float(near[k, q]))
         return [(s, i, c) for (s, i), c in hits.items()]
 
+    def holding(self, words: list[bytes], ids: np.ndarray) -> list[tuple[int, int]]:
+        """(first word, item) of every passage whose region may hold enough of an item: none that does is left out."""
+        if not len(ids) or not self.items:
+            return []
+        out: list[tuple[int, int]] = []
+        starts, size = starts_of(len(ids)), len(self.vocabulary)
+        for group in np.split(starts, np.searchsorted(starts, np.arange(REACH, len(ids), REACH))):
+            if not len(group):
+                continue
+            part = ids[max(0, group[0] - self.longest) : group[-1] + PASSAGE + self.longest]
+            times = np.bincount(part[part >= 0], minlength=size)
+            held = np.add.reduceat(np.minimum(times[self.bag_words], self.bag_times), self.first[:-1])
+            for k in np.nonzero(held >= self.needed)[0].tolist():
+                item, needed = self.items[k][1], self.needed[k]
+                low, high = np.maximum(group - len(item), 0), np.minimum(group + PASSAGE + len(item), len(ids))
+                own = np.zeros(size + 1, dtype=bool)
+                own[self.bag_words[self.first[k] : self.first[k + 1]]] = True
+                sums = np.concatenate([[0], np.cumsum(own[ids[low[0] : high[-1]]])])
+                able = np.nonzero(sums[high - low[0]] - sums[low - low[0]] >= needed)[0]
+                for run in np.split(able, np.nonzero(np.diff(able) > 1)[0] + 1):
+                    # what all regions of a run hold together bounds what each holds
+                    if len(run) and lcs_length(item, words[low[run[0]] : high[run[-1]]]) >= needed:
+                        out += [(int(s), k) for s in group[run]]
+        return out
+
+    def cosines(self, ids: np.ndarray, places: list[tuple[int, int]]) -> list[tuple[int, int, float]]:
+        """(first word, item, cosine) of given places."""
+        if not places:
+            return []
+        folded = self.fold(*self.rows(ids, np.array([s for s, _ in places])))
+        return [(s, k, float((self.passages[self.item_of == k] @ x).max())) for (s, k), x in zip(places, folded)]
+
+    def exact(self, words: list[bytes]) -> list[tuple]:
+        """Short items whose words stand in a row, as verify() returns what it finds."""
+        out: dict[int, tuple] = {}
+        if self.short:
+            for word in self.short.keys() & set(words):
+                at = [i for i, w in enumerate(words) if w == word]
+                for n, (item_id, item) in enumerate(self.short[word]):
+                    back = item.index(word)
+                    found = [i - back for i in at if i >= back and words[i - back : i - back + len(item)] == item]
+                    if found:
+                        out[word, n] = (item_id, 1.0, len(item), 1.0, 1.0, found[0])
+        return list(out.values())
+
+    def found(self, words: list[bytes], cosine: float = COSINE) -> list[tuple]:
+        """All items that the words hold, as verify() returns them."""
+        ids = self.ids(words)
+        near = self.near(ids, cosine)
+        known = {(s, k) for s, k, _ in near}
+        counted = [x for x in self.holding(words, ids) if x not in known]
+        return verify(words, near + self.cosines(ids, counted), self.items) + self.exact(words)
+
 
 def _fit_part(space: Space, q: np.ndarray | None, docs: list[bytes], width: int, seed: int) -> np.ndarray:
     """This part's share of A^T A Q (of A^T G with a random G at first)."""
@@ -212,12 +286,14 @@ def _frequencies(docs: DataFrame, vocabulary: dict[bytes, int]) -> tuple[np.ndar
 def fit(spark, items: list[tuple[int, bytes]], idf_of: dict[bytes, float], dimensions: int = DIMENSIONS) -> Space:
     """The latent space of a block of items."""
     vocabulary: dict[bytes, int] = {}
-    kept = [(i, t, words_of(t)) for i, t in items]
-    kept = [(i, t, w) for i, t, w in kept if len(w) >= LEAST_WORDS]
-    for _, _, words in kept:
+    split = [(i, t, words_of(t)) for i, t in items]
+    kept = [(i, t, w) for i, t, w in split if len(w) >= LEAST_WORDS]
+    short = [(i, w) for i, _, w in split if 0 < len(w) < LEAST_WORDS]
+    for words in [w for _, _, w in kept] + [w for _, w in short]:
         for w in words:
             vocabulary.setdefault(w, len(vocabulary))
     space = Space(vocabulary, np.array([idf_of[w] for w in vocabulary]))
+    space.hold([(i, w, answer_of(t)) for i, t, w in kept], short)
     if not kept:
         return space
     rows = spark.createDataFrame([(bytearray(t),) for _, t, _ in kept], "text binary").repartition(4)
@@ -228,7 +304,6 @@ def fit(spark, items: list[tuple[int, bytes]], idf_of: dict[bytes, float], dimen
     product = q.T @ _summed(spark, rows, space, q, width)  # Q^T A^T A Q: its eigenvectors turn Q into singular vectors
     values, vectors = np.linalg.eigh((product + product.T) / 2)
     space.axes = (q @ vectors[:, np.argsort(-values)[:dimensions]]).astype(np.float32)
-    space.items = [(i, w, answer_of(t)) for i, t, w in kept]
     folded = [space.fold(*space.rows(space.ids(w), starts_of(len(w)))) for _, w, _ in space.items]
     space.item_of = np.repeat(np.arange(len(folded)), [len(x) for x in folded])
     together = np.concatenate(folded)
@@ -293,7 +368,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE) ->
                 for doc_id, t in zip(batch.column(0).to_pylist(), texts(batch, 1)):
                     words = words_of(t)
                     for space in shared.value:
-                        out += [(doc_id, *x) for x in verify(words, space.near(space.ids(words), cosine), space.items)]
+                        out += [(doc_id, *x) for x in space.found(words, cosine)]
                 columns = list(zip(*out)) if out else [[]] * 7
                 kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays(
