@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,22 +77,25 @@ def eager_edges(placed: DataFrame, fanout: int) -> DataFrame:
     return first.filter("node <> neighbour").withColumn("r", F.row_number().over(w)).filter(F.col("r") <= fanout).select("node", F.col("neighbour").alias("peer"))
 
 
-def bfs_rounds(edges: DataFrame, sources: DataFrame, rounds: int = 64) -> DataFrame:
+def bfs_rounds(edges: DataFrame, sources: DataFrame, rounds: int | None = None) -> DataFrame:
     """node, round: the round in which a message from ``sources`` first reaches each node.
 
-    A frontier is joined with the edges and what is reached is taken out. Lineage is cut
-    every few rounds in the checkpoint folder where the session has one.
+    A frontier is joined with the edges and what is reached is taken out, until no node is new.
+    ``rounds`` is a guard: where a frontier is left after so many, an error is raised. Lineage is cut
+    in the checkpoint folder where the session has one, and on the executors elsewhere.
     """
     spark = edges.sparkSession
     reached = sources.select("node", F.lit(0).cast("long").alias("round")).distinct()
     frontier = reached
     durable = spark.sparkContext.getCheckpointDir() is not None
-    for k in range(1, rounds + 1):
+    for k in count(1):
         arrived = frontier.select("node").join(edges, "node").select(F.col("peer").alias("node")).distinct()
         frontier = arrived.join(reached, "node", "left_anti").withColumn("round", F.lit(k).cast("long"))
-        frontier = frontier.checkpoint() if durable else frontier.persist()
+        frontier = frontier.checkpoint() if durable else frontier.localCheckpoint()
         if not frontier.limit(1).count():
-            break
+            return reached
+        if rounds is not None and k > rounds:
+            raise RuntimeError(f"nodes are still reached after {rounds} rounds")
         reached = reached.union(frontier)
-        reached = reached.checkpoint() if durable and k % 4 == 0 else reached
-    return reached
+        if k % 4 == 0:
+            reached = reached.checkpoint() if durable else reached.localCheckpoint()
