@@ -20,6 +20,5 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_quality_rules": quality_rules.ORACLE,
     "op4_warc": warc.ORACLE,
-    "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_substring_dedup": substring_dedup.ORACLE,
 }
