@@ -14,8 +14,13 @@ role, class or id) goes, repeated or not. Text that no mark-up decides, such as
 a page without an article, keeps its unique runs. Beside an article such text is not part of it.
 
 A host may hold a third of all pages, so hosts are dealt out in shards of about
-``SHARD_PAGES`` pages by a hash of the page: boilerplate is on nearly every page, and each
-shard sees it many times.
+``SHARD_PAGES`` pages by a hash of the page. Each shard returns its distinct runs with the
+pages that hold them, Spark sums these over the host, and the runs that reach ``MIN_PAGES`` there go
+back to the shards that have them: a page's text doesn't depend on how its host was dealt out.
+
+Pages that mark-up decides alone are done where they are read. Only hosts with another page are
+dealt out, and there all pages count. Pages without an article whose undecided texts are equal are one page
+to the count, by the least of them, so a copied body isn't taken for boilerplate.
 
 Edge cases: a null html is an empty page; a null or unreadable url puts the page in the
 group of pages without a host. Comments, tags and elements cut off by the page's end end
@@ -25,15 +30,18 @@ as one page. An empty table gives an empty result. Other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import html as _html
 import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gossamer.llm.common import materialize, prepare
+from gossamer.llm.common import map_arrow, materialize, prepare
 
 #: Tokens of the shortest run that counts, distinct pages it must occur on, pages of a shard.
 MIN_RUN, MIN_PAGES, SHARD_PAGES = 6, 3, 256
@@ -161,9 +169,26 @@ def repeated_tokens(tokens: np.ndarray, pages: np.ndarray, min_run: int = MIN_RU
     an id of its own (negative); ``pages`` gives each token's page.
     """
     n = len(tokens)
-    covered = np.zeros(n, dtype=bool)
     if n < min_run:
-        return covered
+        return np.zeros(n, dtype=bool)
+    rank, distinct = run_ranks(tokens, pages, min_run)
+    starts = distinct[rank] >= min_pages
+    starts[n - min_run + 1 :] = False
+    return covered_by(starts, min_run)
+
+
+def covered_by(starts: np.ndarray, min_run: int) -> np.ndarray:
+    """Which tokens the runs at the given starts cover."""
+    edge = np.zeros(len(starts) + min_run + 1, dtype=np.int64)
+    at = np.nonzero(starts)[0]
+    np.add.at(edge, at, 1)
+    np.add.at(edge, at + min_run, -1)
+    return np.cumsum(edge[: len(starts)]) > 0
+
+
+def run_ranks(tokens: np.ndarray, pages: np.ndarray, min_run: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each suffix's rank by its first ``min_run`` tokens, and the distinct pages of each rank."""
+    n = len(tokens)
     _, rank = np.unique(tokens, return_inverse=True)
     have = 1
     while have < min_run:
@@ -182,46 +207,94 @@ def repeated_tokens(tokens: np.ndarray, pages: np.ndarray, min_run: int = MIN_RU
     r, p = rank[order], pages[order]
     new = np.ones(n, dtype=np.int64)
     new[1:] = (r[1:] != r[:-1]) | (p[1:] != p[:-1])
-    distinct = np.bincount(r, weights=new, minlength=n)
-    starts = distinct[rank] >= min_pages
-    starts[n - min_run + 1 :] = False
-    edge = np.zeros(n + 1, dtype=np.int64)
-    at = np.nonzero(starts)[0]
-    np.add.at(edge, at, 1)
-    np.add.at(edge, at + min_run, -1)
-    return np.cumsum(edge[:-1]) > 0
+    return rank, np.bincount(r, weights=new, minlength=n).astype(np.int64)
 
 
-def extract_shard(pages: list[str], min_run: int = MIN_RUN, min_pages: int = MIN_PAGES) -> list[str]:
-    """Main texts of pages of one host."""
-    parsed = [blocks(p) for p in pages]
+def by_markup(found: list[tuple[int, str]]) -> str | None:
+    """A page's text where mark-up decides all of it, else None."""
+    if any(role == MAIN for role, _ in found):
+        return " ".join(text for role, text in found if role == MAIN)
+    return None if any(role == FREE for role, _ in found) else ""
+
+
+def body_of(found: list[tuple[int, str]]) -> str:
+    """A digest, equal for pages that are one to the count: of the undecided texts, or else of all."""
+    own = [text for role, text in found if role == FREE] if by_markup(found) is None else [f"{role} {text}" for role, text in found]
+    return hashlib.md5("\n".join(own).encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def words_in(found: list[tuple[int, str]]) -> list[str]:
+    return [w for _, text in found for w in text.split(" ")]
+
+
+def run_hashes(words: list[str], at: list[int], min_run: int) -> list[int]:
+    """The runs that start at the given words, as signed 64-bit hashes."""
+    return [x - (1 << 64) if (x := xxhash.xxh64_intdigest(" ".join(words[i : i + min_run]).encode("utf-8", "surrogatepass"))) >> 63 else x for i in at]
+
+
+def shard_runs(pages: list[str], min_run: int = MIN_RUN) -> tuple[list[int], list[int]]:
+    """The distinct runs of pages that differ to the count, and how many of the pages hold each."""
     ids: dict[str, int] = {}
+    words: list[str] = []
     stream: list[int] = []
     page_of: list[int] = []
-    same: dict[str, int] = {}
-    for i, (page, found) in enumerate(zip(pages, parsed)):
-        first = same.setdefault(page, i)  # equal pages are one page to the count
-        for _, text in found:
-            stream += [ids.setdefault(w, len(ids)) for w in text.split(" ")]
-        stream.append(-1 - i)
-        page_of += [first] * (len(stream) - len(page_of))
-    covered = repeated_tokens(np.array(stream, dtype=np.int64), np.array(page_of, dtype=np.int64), min_run, min_pages)
-    out, at = [], 0
-    for found in parsed:
-        marked = any(role == MAIN for role, _ in found)
-        kept = []
-        for role, text in found:
-            words = text.split(" ")
-            if role == MAIN:
-                kept.append(text)
-            elif role == FREE and not marked:
-                left = [w for w, gone in zip(words, covered[at : at + len(words)].tolist()) if not gone]
-                if left:
-                    kept.append(" ".join(left))
-            at += len(words)
-        at += 1
-        out.append(" ".join(kept))
-    return out
+    for i, page in enumerate(pages):
+        own = words_in(blocks(page))
+        words += [*own, ""]
+        stream += [*(ids.setdefault(w, len(ids)) for w in own), -1 - i]
+        page_of += [i] * (len(own) + 1)
+    tokens = np.array(stream, dtype=np.int64)
+    if len(tokens) < min_run:
+        return [], []
+    rank, distinct = run_ranks(tokens, np.array(page_of, dtype=np.int64), min_run)
+    ends = np.concatenate([[0], np.cumsum(tokens < 0)])
+    whole = np.nonzero(ends[min_run:] == ends[:-min_run])[0]  # runs within one page
+    _, first = np.unique(rank[whole], return_index=True)
+    at = whole[first]
+    return run_hashes(words, at.tolist(), min_run), distinct[rank[at]].tolist()
+
+
+def without_runs(page: str, repeated: set[int], min_run: int = MIN_RUN) -> str:
+    """The undecided text of a page, without what repeated runs cover."""
+    found = blocks(page)
+    words = words_in(found)
+    starts = np.zeros(len(words), dtype=bool)
+    n = max(len(words) - min_run + 1, 0)
+    starts[:n] = [h in repeated for h in run_hashes(words, list(range(n)), min_run)]
+    gone, kept, at = covered_by(starts, min_run).tolist(), [], 0
+    for role, text in found:
+        own = text.split(" ")
+        if role == FREE:
+            kept += [w for w, g in zip(own, gone[at : at + len(own)]) if not g]
+        at += len(own)
+    return " ".join(kept)
+
+
+def extract_shard(pages: list[str], min_run: int = MIN_RUN, min_pages: int = MIN_PAGES) -> list[str]:
+    """Main texts of pages that are all of one host."""
+    parsed = [blocks(p) for p in pages]
+    least: dict[str, str] = {}
+    for page, found in zip(pages, parsed):
+        body = body_of(found)
+        least[body] = min(page, least.get(body, page))
+    runs, held = shard_runs(list(least.values()), min_run)
+    repeated = {x for x, n in zip(runs, held) if n >= min_pages}
+    texts = [by_markup(found) for found in parsed]
+    return [without_runs(page, repeated, min_run) if t is None else t for page, t in zip(pages, texts)]
+
+
+def _decided(batches):
+    for batch in batches:
+        found = [blocks(x or "") for x in batch.column(2).to_pylist()]
+        columns = [batch.column(0), batch.column(1), batch.column(3), pa.array([by_markup(x) for x in found], pa.string()), pa.array([body_of(x) for x in found], pa.string())]
+        yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "host", "text", "body"])
+
+
+def _bodies(batches):
+    for batch in batches:
+        found = [blocks(x or "") for x in batch.column(2).to_pylist()]
+        columns = [batch.column(3), pa.array([body_of(x) for x in found], pa.string()), pa.array([by_markup(x) is None for x in found]), batch.column(2)]
+        yield pa.RecordBatch.from_arrays(columns, names=["host", "body", "open", "html"])
 
 
 def extract_text(pages: DataFrame, shard_pages: int = SHARD_PAGES, min_run: int = MIN_RUN, min_pages: int = MIN_PAGES) -> DataFrame:
@@ -233,26 +306,33 @@ def extract_text(pages: DataFrame, shard_pages: int = SHARD_PAGES, min_run: int
         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"),
         F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)).alias("host"),
     )
-    # hosts that need more than one shard; the others take none of the join's rows
+    decided = materialize(map_arrow(rows, _decided, "page_id long, url string, host string, text string, body string"), "decided-pages")
+    done = decided.filter("text IS NOT NULL").select("page_id", "url", "text")
+    hosts = materialize(decided.filter("text IS NULL").select("host").distinct(), "undecided-hosts")
+    if not hosts.limit(1).count():
+        return done
+    counted = map_arrow(rows.join(hosts, "host", "left_semi").select("page_id", "url", "html", "host"), _bodies, "host string, body string, open boolean, html string")
+    distinct = materialize(counted.groupBy("host", "body", "open").agg(F.min("html").alias("html")), "distinct-pages")
     # (written out, its size is known: Spark broadcasts it below its threshold and joins it by shuffle above)
-    large = materialize(rows.groupBy("host").agg(F.count("*").alias("n")).filter(F.col("n") > shard_pages), "large-hosts")
+    large = materialize(distinct.groupBy("host").agg(F.count("*").alias("n")).filter(F.col("n") > shard_pages), "large-hosts")
     parts = F.coalesce(F.ceil(F.col("n") / shard_pages), F.lit(1)).cast("long")
-    dealt = rows.join(large, "host", "left").withColumn(
-        "shard", F.xxhash64("host", F.pmod(F.xxhash64("page_id"), parts))
-    )
+    dealt = distinct.join(large, "host", "left").withColumn("shard", F.pmod(F.xxhash64("body"), parts)).drop("n")
+
+    def runs_of(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        runs, held = shard_runs(pdf["html"].tolist(), min_run)
+        return pd.DataFrame({"host": key[0], "shard": key[1], "run": np.array(runs, dtype=np.int64), "n": np.array(held, dtype=np.int64)})
+
+    def without(key: tuple, pdf: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
+        repeated = set(back["run"].tolist())
+        return pd.DataFrame({"host": pdf["host"], "body": pdf["body"], "text": [without_runs(x, repeated, min_run) for x in pdf["html"]]})
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = pdf[["page_id", "url"]].copy()
-        text = [""] * len(pdf)
-        # shards are told apart by a hash; hosts that share one are still apart here
-        for _, at in pdf.groupby("host", sort=False).indices.items():
-            at = sorted(at.tolist(), key=lambda i: pdf["page_id"].iat[i])
-            for i, t in zip(at, extract_shard([pdf["html"].iat[i] for i in at], min_run, min_pages)):
-                text[i] = t
-        out["text"] = text
-        return out
-
-    return dealt.select("shard", "host", "page_id", "url", "html").groupBy("shard").applyInPandas(run, "page_id long, url string, text string")
+    runs = materialize(dealt.groupBy("host", "shard").applyInPandas(runs_of, "host string, shard long, run long, n long"), "shard-runs")
+    repeated = runs.groupBy("host", "run").agg(F.sum("n").alias("pages")).filter(F.col("pages") >= min_pages).select("host", "run")
+    back = runs.select("host", "shard", "run").join(repeated, ["host", "run"])
+    texts = dealt.filter("open").groupBy("host", "shard").cogroup(back.groupBy("host", "shard")).applyInPandas(without, "host string, body string, text string")
+    texts = materialize(texts, "undecided-texts")
+    rest = decided.filter("text IS NULL").drop("text").join(texts, ["host", "body"]).select("page_id", "url", "text")
+    return done.union(rest)
 
 
 def op2_html_extract(spark, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from gossamer.llm import decontaminate
+from gossamer.llm import decontaminate, html_extract
 
 DOCS = "doc_id long, text string"
 
@@ -51,3 +51,22 @@ def test_leaks_equal_brute_force(spark, size, share):
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     got = {(h["doc_id"], h["item_id"]) for h in decontaminate.find_leaks(spark.createDataFrame(rows, DOCS), benchmark).collect()}
     assert got == {(i, k) for i, t in rows[:40] for k in brute_leaks(t, items)} and (7, 100) in got
+
+
+# -- extraction ----------------------------------------------------------
+
+
+@pytest.mark.parametrize("shard_pages", [4, 1000])
+def test_a_host_is_one_whatever_its_shards(spark, shard_pages):
+    """A notice on 3 of 60 pages goes, one on 2 stays, and a body copied under other menus stays."""
+    notice, pair = "we use these little files to serve you better", "only two pages of this host say so here"
+    own = lambda i: " ".join(f"own{i}x{k}" for k in range(9))
+    page = lambda text, menu: f"<body><nav>menu {menu}</nav>{text}</body>"
+    texts = {i: own(i) for i in range(60)} | {i: own(100) for i in range(20, 24)}
+    want = dict(texts) | {i: f"{texts[i]} {pair}" for i in (4, 5)}
+    held = dict(want) | {i: f"{texts[i]}</p><p>{notice}" for i in (1, 2, 3)}
+    rows = [(i, "http://h/p", page(f"<p>{held[i]}</p>", i)) for i in held]
+    rows += [(200 + i, f"http://other{i}/p", page(f"<p>{notice}</p>", i)) for i in range(3)] + [(300, "http://h/a", "<article>kept</article>" + notice)]
+    want |= {200 + i: notice for i in range(3)} | {300: "kept"}
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in html_extract.extract_text(pages, shard_pages=shard_pages).collect()} == want
