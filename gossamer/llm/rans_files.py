@@ -12,7 +12,8 @@ tokenizes its range and closes a file each FILE_TOKENS ids, which bounds memory.
 a temporary name and renamed; the manifest, written last, holds each file's count of ids,
 and its running sum gives each document's start.
 
-Edge cases: a null or empty text is the end id alone. Rows without a doc_id are no
+Edge cases: a null or empty text is the end id alone. A very long text is one document of one file, which is then
+longer than others and held whole. Rows without a doc_id are no
 documents; repeated doc_ids are kept, in any order among themselves. An empty table gives
 an empty manifest. Other columns are ignored.
 """
@@ -24,6 +25,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,14 +40,16 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 #: Ids of a block, lanes of a block, ids after which a file is closed.
 BLOCK, LANES, FILE_TOKENS = 1 << 16, 64, 1 << 21
+#: Files that a task reads one after another, where writers left more than one each.
+FILES_A_TASK = 8
 #: Frequencies of a table sum to 2^TABLE_BITS.
 TABLE_BITS = 20
 #: States of a lane live in [LOW, LOW * 2^32) and shift 32 bits at a time.
 LOW = 1 << 31
 MAGIC = b"GRNS0001"
-#: Words that each of a worker's two tables holds; no result depends on it.
-KEPT = 450_000
-MANIFEST = "file string, first_doc long, last_doc long, documents long, tokens long, bytes long, sha_crc long"
+#: Words that each of a worker's two tables holds, that go to the library at a time, and in one line. No result depends on them.
+KEPT, ASKED, LINE = 650_000, 8192, 64
+MANIFEST = "file string, part long, number long, first_doc long, last_doc long, documents long, tokens long, bytes long, sha_crc long"
 
 
 # -- tokens --------------------------------------------------------------
@@ -94,26 +98,21 @@ class WordTokens:
 
     def _ask(self, words: list[bytes]) -> None:
         table = self.young
-        plain = []
-        for w in words:
-            if b"\x01" in w or b"<|" in w or self.mark is None:
-                ids = self._ids(w.decode())
-                table[w] = struct.pack(f"<{len(ids)}I", *ids)
-            else:
-                plain.append(w)
-        parts = [plain[i : i + 32] for i in range(0, len(plain), 32)]
-        joined = [f" {self.MARK} ".join([w.decode() for w in part]) for part in parts]
-        # (the fast form leaves out the offsets, which are not needed)
-        for part, encoded in zip(parts, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
-            ids = np.array(encoded.ids, dtype="<u4")
-            at = np.nonzero(ids == self.mark)[0]
-            if len(at) != len(part) - 1:
+        odd = {w for w in words if b"\x01" in w or b"<|" in w} if self.mark is not None else set(words)
+        for w in odd:
+            table[w] = struct.pack(f"<{len(ids)}I", *ids) if (ids := self._ids(w.decode())) else b""
+        plain = [w for w in words if w not in odd]
+        for k in range(0, len(plain), ASKED):
+            part = plain[k : k + ASKED]
+            asked = [f" {self.MARK} ".join([w.decode() for w in part[i : i + LINE]]) + f" {self.MARK}" for i in range(0, len(part), LINE)]
+            # (the fast form leaves out the offsets, which are not needed)
+            found = self.tokenizer.encode_batch_fast(asked, add_special_tokens=False)
+            ids = np.fromiter(chain.from_iterable(x.ids for x in found), dtype="<u4")
+            marks = np.nonzero(ids == self.mark)[0]
+            if len(marks) != len(part):
                 raise ValueError("the mark does not tell the words apart")
-            raw = ids.tobytes()
-            start = 0
-            for w, end in zip(part, [*at.tolist(), len(ids)]):
-                table[w] = raw[4 * start : 4 * end]
-                start = end + 1
+            raw, ends = ids.tobytes(), (4 * marks).tolist()
+            table.update(zip(part, [raw[i + 4 : j] for i, j in zip([-4, *ends], ends)]))
 
     def batch(self, docs: list[bytes]) -> list[bytes]:
         # the tokenizer lower-cases all but its special tokens
@@ -129,7 +128,7 @@ class WordTokens:
             else:
                 table[w] = ids
         self._learn(new)
-        return [b"".join([table[w] for w in words]) for words in split]
+        return [b"".join(map(table.__getitem__, words)) for words in split]
 
 
 _LOADED: dict[str, WordTokens] = {}
@@ -211,7 +210,7 @@ def decode_blocks(blocks: list[bytes], sizes: list[int], freq: np.ndarray, lanes
     """The ids of blocks (any of a file's), ``sizes`` of them each."""
     if not blocks:
         return []
-    slots = np.repeat(np.arange(len(freq), dtype=np.int64), freq)
+    slots = np.repeat(np.arange(len(freq), dtype=np.uint16 if len(freq) <= 1 << 16 else np.int32), freq)
     start = np.concatenate([[0], np.cumsum(freq)[:-1]]).astype(np.uint64)
     freq = freq.astype(np.uint64)
     n = len(blocks)
@@ -318,9 +317,9 @@ def _writer(folder_uri: str, tokenizer: str, file_tokens: int):
             with fs.open_output_stream(temporary) as out:
                 out.write(raw)
             fs.move(temporary, f"{folder}/{name}")
-            row = (name, docs[0], docs[-1], len(docs), len(ids), len(raw), zlib.crc32(raw))
+            row = (name, context.partitionId(), number, docs[0], docs[-1], len(docs), len(ids), len(raw), zlib.crc32(raw))
             docs, held, size, number = [], [], 0, number + 1
-            kinds = [pa.string()] + [pa.int64()] * 6
+            kinds = [pa.string()] + [pa.int64()] * 8
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], names=[x.split()[0] for x in MANIFEST.split(", ")])
 
         for batch in batches:
@@ -359,24 +358,20 @@ def _reader(folder_uri: str):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, folder = open_fs(folder_uri)
         for batch in batches:
-            for name, start, crc in zip(*(c.to_pylist() for c in batch.columns)):
+            for name, start, crc in zip(*(batch.column(c).to_pylist() for c in ("file", "start", "sha_crc"))):
                 with fs.open_input_file(f"{folder}/{name}") as f:
                     raw = f.read()
                 if zlib.crc32(raw) != crc:
                     raise ValueError(f"{name} does not match its checksum")
                 doc_ids, lengths, ids = read_file(raw)
-                plain = ids.astype("<u4").tobytes()
-                ends = np.cumsum(lengths)
-                at = [0, *ends.tolist()]
+                ends = np.concatenate([[0], np.cumsum(lengths)])
                 for i in range(0, len(doc_ids), 500):
                     k = min(i + 500, len(doc_ids))
+                    part = ids[ends[i] : ends[k]].astype("<u4")
+                    at = (4 * (ends[i : k + 1] - ends[i])).astype(np.int32)
+                    plain = pa.Array.from_buffers(pa.binary(), k - i, [None, pa.py_buffer(at), pa.py_buffer(part)])
                     yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(doc_ids[i:k]),
-                            pa.array(start + ends[i:k] - lengths[i:k]),
-                            pa.array(lengths[i:k]),
-                            pa.array([plain[4 * at[j] : 4 * at[j + 1]] for j in range(i, k)], pa.binary()),
-                        ],
+                        [pa.array(doc_ids[i:k]), pa.array(start + ends[i:k]), pa.array(lengths[i:k]), plain],
                         names=["doc_id", "start", "n_tokens", "ids"],
                     )
 
@@ -386,12 +381,15 @@ def _reader(folder_uri: str):
 def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start, n_tokens and ids (little-endian unsigned 32-bit) of every document in the folder's files."""
     manifest = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
-    # one row per file, some 2^21 ids each: the running sum is over those few rows
-    before = F.coalesce(
-        F.sum("tokens").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-    )
-    files = manifest.select("file", before.alias("start"), "sha_crc").repartition(max(1, manifest.count()), "file")
-    return map_arrow(files, _reader(folder), "doc_id long, start long, n_tokens long, ids binary")
+    # running sums within each writer's files, and over the writers, one row each
+    parts = manifest.groupBy("part").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("files"))
+    before = lambda w: F.coalesce(F.sum("tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = parts.select("part", before(Window.orderBy("part")).alias("first"))
+    files = manifest.withColumn("own", before(Window.partitionBy("part").orderBy("number"))).join(starts, "part")
+    files = files.select("part", "number", "file", (F.col("first") + F.col("own")).alias("start"), "sha_crc")
+    size = parts.agg(F.count("*").alias("parts"), F.sum("files").alias("files")).first()
+    tasks = max(1, size["parts"], (size["files"] or 0) // FILES_A_TASK)
+    return map_arrow(files.repartitionByRange(tasks, "part", "number"), _reader(folder), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def op7_rans(spark, sf_dir: str) -> DataFrame:
