@@ -78,8 +78,12 @@ def map_arrow(
     return df.mapInArrow(run, schema)
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def fresh_name(df: DataFrame, base: str) -> str:
+    """A column name that the table doesn't have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while base in taken:
+        base += "_"
+    return base
 
 
 def id_and_text(docs: DataFrame) -> DataFrame:

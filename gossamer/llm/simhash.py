@@ -14,7 +14,7 @@ which are within 3 bits. Every group thus has a bound without any cap, and each
 forest of its links, never all its pairs.
 
 Edge cases: a null or empty text has fingerprint zero and links like any other. Fewer than
-three words make one shingle. Rows without a doc_id are no documents. An empty table gives
+three words make one shingle. Very long texts are hashed whole, shingles a chunk at a time. Rows without a doc_id are no documents. An empty table gives
 an empty result. Other columns are ignored; of rows with an equal doc_id each is fingerprinted.
 """
 
@@ -23,7 +23,6 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -38,8 +37,8 @@ SHINGLE, MAX_BITS = 3, 3
 BLOCKS = 6
 #: Fingerprints that may share a key before it is split again.
 SPLIT_OVER = 256
-#: Shingles whose bits are unpacked at a time.
-CHUNK = 1 << 16
+#: Shingles whose bits are unpacked at a time; rows of keys that are compared at a time.
+CHUNK, AT_ONCE = 1 << 16, 1 << 17
 
 
 def fingerprint(text: bytes, width: int = SHINGLE) -> int:
@@ -90,11 +89,28 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _close_by_pairs(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Linked pairs of few fingerprints, by comparing them all in one numpy block."""
-    apart = np.bitwise_count(prints[:, None] ^ prints[None, :])
-    i, j = np.nonzero(np.triu(apart <= MAX_BITS, 1))
-    return i, j
+def _close_by_pairs(prints: np.ndarray, group: np.ndarray) -> list[tuple[int, int]]:
+    """Spanning links of fingerprints within their (neighbouring) groups: each with the next one, the one after it, and so on.
+
+    What earlier steps have linked is not taken again, so a group of near copies gives as many links as members.
+    """
+    n = len(prints)
+    parent, kept = list(range(n)), []
+    root = np.arange(n)
+    here = np.arange(n)
+    for step in range(1, n):
+        here = here[here + step < n]
+        here = here[group[here] == group[here + step]]
+        if not len(here):
+            break
+        close = here[np.bitwise_count(prints[here] ^ prints[here + step]) <= MAX_BITS]
+        close = close[root[close] != root[close + step]]
+        if len(close):
+            kept += _forest(n, close.tolist(), (close + step).tolist(), parent)
+            root = np.array(parent)
+            while (root != root[root]).any():
+                root = root[root]
+    return kept
 
 
 def _gather(values: np.ndarray, mask: int) -> np.ndarray:
@@ -141,22 +157,52 @@ def _close_by_table(prints: np.ndarray, free: int) -> list[tuple[int, int]]:
     return kept
 
 
-def _links_of(prints: np.ndarray, free: int) -> list[tuple[int, int]]:
-    prints = np.unique(prints.view(np.uint64))
-    if len(prints) <= 4 * SPLIT_OVER:
-        found = _forest(len(prints), *(x.tolist() for x in _close_by_pairs(prints)))
-    elif free.bit_count() <= 20:
-        found = _close_by_table(prints, free)
-    else:
-        raise ValueError("a key of this width must be split first")
-    back = prints.view(np.int64)
-    return [(int(back[a]), int(back[b])) for a, b in found]
+def _links_of(prints: np.ndarray, group: np.ndarray, free: np.ndarray) -> list[tuple[int, int]]:
+    """Links of rows whose groups stand side by side: small groups together, each large one by a table of its free bits."""
+    bounds = np.concatenate([[0], np.nonzero(np.diff(group))[0] + 1, [len(group)]])
+    sizes = np.diff(bounds)
+    found: list[tuple[int, int]] = []
+    for i in np.nonzero(sizes > 4 * SPLIT_OVER)[0].tolist():
+        own = np.unique(prints[bounds[i] : bounds[i + 1]])
+        width = int(free[bounds[i]]) & (1 << 64) - 1
+        if width.bit_count() > 20:
+            raise ValueError("a key of this width must be split first")
+        outside = own & np.uint64(~width & (1 << 64) - 1)
+        for rest in np.unique(outside):  # one value, unless two keys have one hash
+            part = own[outside == rest]
+            found += [(part[a], part[b]) for a, b in _close_by_table(part, width)]
+    small = np.repeat(sizes <= 4 * SPLIT_OVER, sizes)
+    some, at = prints[small], group[small]
+    return found + [(some[a], some[b]) for a, b in _close_by_pairs(some, at)]
+
+
+def _group_links(batches):
+    """Links within each key of a partition in order of keys (group, free, fp): batches are cut where a key ends."""
+    held: list[np.ndarray] = []
+
+    def done(rows: np.ndarray) -> pa.RecordBatch:
+        found = _links_of(rows[2].view(np.uint64), rows[0], rows[1]) if rows.shape[1] else []
+        ends = np.array(found, dtype=np.uint64).reshape(-1, 2).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(ends[:, 0].copy()), pa.array(ends[:, 1].copy())], names=["u", "v"])
+
+    for batch in batches:
+        held.append(np.stack([batch.column(c).to_numpy() for c in range(3)]))
+        if sum(x.shape[1] for x in held) < AT_ONCE or held[-1][0][0] == held[-1][0][-1]:
+            continue
+        rows = np.concatenate(held, axis=1)
+        cut = int(np.searchsorted(rows[0] == rows[0][-1], True))
+        held = [rows[:, cut:]]
+        yield done(rows[:, :cut])
+    if held:
+        yield done(np.concatenate(held, axis=1))
 
 
-def _group_links(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    """Links within one key; its last column holds the free bits."""
-    found = _links_of(pdf["fp"].to_numpy(np.int64), int(pdf["free"].iloc[0]) & (1 << 64) - 1)
-    return pd.DataFrame(found, columns=["u", "v"]).astype("int64")
+def _links(keyed: DataFrame) -> DataFrame:
+    """Links (u, v) within each group of (group, free, fp), whose sizes are bounded."""
+    spark = keyed.sparkSession
+    # a stated number of partitions, as adaptive execution would run these small rows in one task
+    dealt = keyed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "group").sortWithinPartitions("group", "fp")
+    return map_arrow(dealt, _group_links, "u long, v long")
 
 
 def _keyed(prints: DataFrame, masks: list[int], free_of: int) -> DataFrame:
@@ -176,9 +222,10 @@ def links(prints: DataFrame, split_over: int = SPLIT_OVER) -> DataFrame:
     sizes = first.groupBy("k", "part").agg(F.count("*").alias("n")).filter("n > 1")
     sizes = materialize(sizes, "simhash-keys")
     held = first.join(sizes, ["k", "part"])
-    # rows are dealt anew by a different key than the join's, so that a skewed join may be split
-    few = held.filter(F.col("n") <= split_over).withColumn("key", F.xxhash64("k", "part", F.lit(1)))
-    near = few.groupBy("key").applyInPandas(_group_links, "u long, v long")
+    # rows are dealt anew by a different key than the join's, so that a skewed join may be split; two keys of
+    # one hash are compared together, which adds no false link as every pair is verified
+    few = held.filter(F.col("n") <= split_over).select(F.xxhash64("k", "part", F.lit(1)).alias("group"), "free", "fp")
+    near = _links(few)
     if not sizes.filter(F.col("n") > split_over).limit(1).count():
         return near
     many = held.filter(F.col("n") > split_over)
@@ -187,8 +234,7 @@ def links(prints: DataFrame, split_over: int = SPLIT_OVER) -> DataFrame:
         free = everything & ~m
         inner = _keyed(many.filter(F.col("k") == k).select("fp"), [m | x for x in key_masks(free)], everything)
         branches = inner if branches is None else branches.union(inner)
-    far = branches.groupBy("part", "free").applyInPandas(_group_links, "u long, v long")
-    return near.union(far)
+    return near.union(_links(branches.select(F.xxhash64("part", "free").alias("group"), "free", "fp")))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
