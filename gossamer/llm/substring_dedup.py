@@ -1,7 +1,7 @@
 """Removal of repeated passages: Rabin-Karp hashes of every window of words, counted in Spark.
 
-Every window of ``WINDOW`` consecutive words of a document gets a rolling polynomial hash
-modulo 2^64, and 16 bits of a second one with another base, so 80 bits tell windows apart. A window that occurs earlier, in a document with a
+Every window of ``WINDOW`` consecutive words of a document gets two rolling polynomial hashes
+modulo 2^64 with different bases, so 128 bits tell windows apart. A window that occurs earlier, in a document with a
 smaller id or further up in its own, is repeated; the words that repeated windows cover
 are merged into maximal intervals and removed.
 
@@ -15,12 +15,14 @@ is repeated. The filter loses nothing: it is the windows' own count that decides
 A document equal to an earlier one, word for word, is removed whole by its digest; its
 windows need no count, as the earlier document has them all. Counts are pre-aggregated,
 windows are distinct in each document before they are dealt out, and only repeated hashes
-are joined back. Texts travel compressed.
+are joined back. Digests of very many documents (``HOT``) are few, so they are broadcast, and a large
+group of copies never meets in one task. Texts travel compressed.
 
 Edge cases: a null or empty text has no words and nothing is removed (the digest is that of
-the empty text). Texts shorter than a window lose nothing. Rows without a doc_id are no
-documents; rows with an equal doc_id must be equal, are not earlier than each other and each
-get the same result. An empty table gives an empty result. Other columns are ignored.
+the empty text). Texts shorter than a window lose nothing. A very long text is one row, whose windows are
+hashed as arrays. Rows without a doc_id are no
+documents; rows with an equal doc_id are not earlier than each other, whether their texts are equal or not, and each
+is judged by its own words. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,12 +33,14 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gossamer.llm.common import id_and_text, map_arrow, materialize, texts
+from gossamer.llm.common import SPACE_CLASS, fresh_name, id_and_text, map_arrow, materialize, texts
 
 WINDOW, ANCHOR = 20, 6
+#: Copies of a text beyond which its digest is hot, and hot digests that are broadcast at most (a larger table has larger hot groups).
+HOT, MOST_HOT = 1000, 100_000
 #: Odd multipliers of the rolling hashes.
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 EMPTY = hashlib.sha256(b"").hexdigest()
@@ -125,47 +129,60 @@ def scan(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFra
     return map_arrow(id_and_text(docs), run, "doc_id long, n_words long, digest binary, anchors array<long>")
 
 
-def _packed(docs: DataFrame) -> DataFrame:
-    """doc_id and the text, compressed for the way."""
+def _packed(docs: DataFrame, names: DataFrame) -> DataFrame:
+    """doc_id, nth, and the text, compressed for the way."""
 
     def run(batches):
         pack = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([pack.compress(t) for t in texts(batch, 1)], pa.binary())], names=["doc_id", "packed"]
-            )
+            found = texts(batch, 1)
+            digests = [hashlib.sha256(b" ".join(t.split())).digest() for t in found]
+            columns = [batch.column(0), pa.array(digests, pa.binary()), pa.array([pack.compress(t) for t in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "packed"])
+
+    return _named(map_arrow(id_and_text(docs), run, "doc_id long, digest binary, packed binary"), names).drop("digest")
+
+
+def _names(scanned: DataFrame) -> DataFrame:
+    """doc_id, digest, nth of the texts that share a doc_id with other texts: normally none."""
+    several = scanned.groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).filter("a <> b").select("doc_id")
+    texts_of = scanned.select("doc_id", "digest").join(several, "doc_id", "left_semi").distinct()
+    return materialize(texts_of.withColumn("nth", F.dense_rank().over(Window.partitionBy("doc_id").orderBy("digest"))), "substring-names")
+
 
-    return map_arrow(id_and_text(docs), run, "doc_id long, packed binary")
+def _named(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """Adds nth, which with doc_id tells texts apart: 0 unless several have the doc_id."""
+    return rows.join(names, ["doc_id", "digest"], "left").withColumn("nth", F.coalesce("nth", F.lit(0)))
 
 
 def _windows(joined: DataFrame, window: int, anchor: int) -> DataFrame:
-    """Windows with a repeated anchor (doc_id, packed, anchors): hashes and starts of each one's first occurrence, and the starts of later ones."""
-    schema = "doc_id long, packed binary, h1 array<long>, h2 array<smallint>, at array<int>, again array<int>"
+    """Windows with a repeated anchor (doc_id, nth, packed, anchors): hashes and starts of each one's first occurrence, and the starts of later ones."""
+    schema = "doc_id long, nth int, h1 array<long>, h2 array<long>, at array<int>, again array<int>"
 
     def run(batches):
         rolling, unpack = Rolling(), zstandard.ZstdDecompressor()
         for batch in batches:
             out: list[list] = [[], [], [], []]
-            for packed, anchors in zip(batch.column(1).to_pylist(), batch.column(2)):
+            for packed, anchors in zip(batch.column(2).to_pylist(), batch.column(3)):
                 words = word_hashes(unpack.decompress(packed).split())
                 sums = rolling.sums(words, BASES[0])
                 _, least = _anchors(rolling, sums, window, anchor)
                 wanted = np.unique(anchors.values.to_numpy(zero_copy_only=False)).astype(np.int64).view(np.uint64)
                 at = np.nonzero(np.isin(least, wanted))[0]
                 h1 = rolling.runs(sums, BASES[0], window)[at]
-                h2 = (rolling.runs(rolling.sums(words, BASES[1]), BASES[1], window)[at] >> np.uint64(48)).astype(np.uint16)
+                h2 = rolling.runs(rolling.sums(words, BASES[1]), BASES[1], window)[at]
                 # equal windows of one document side by side, the earliest first
                 order = np.lexsort((at, h2, h1))
                 a, b, p = h1[order], h2[order], at[order]
                 new = np.ones(len(p), dtype=bool)
                 new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-                for column, values in zip(out, (a[new].view(np.int64), b[new].view(np.int16), p[new].astype(np.int32), np.sort(p[~new]).astype(np.int32))):
+                for column, values in zip(out, (a[new].view(np.int64), b[new].view(np.int64), p[new].astype(np.int32), np.sort(p[~new]).astype(np.int32))):
                     column.append(values)
             lists = []
-            for column, kind in zip(out, (pa.int64(), pa.int16(), pa.int32(), pa.int32())):
+            for column, kind in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32())):
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in column])]).astype(np.int32)
                 lists.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(column) if column else [], kind)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names=["doc_id", "packed", "h1", "h2", "at", "again"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names=["doc_id", "nth", "h1", "h2", "at", "again"])
 
     return map_arrow(joined, run, schema)
 
@@ -182,13 +199,13 @@ def intervals(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
 
 
 def _cut(joined: DataFrame, window: int) -> DataFrame:
-    """doc_id, removed intervals and kept words of (doc_id, packed, again, starts)."""
+    """doc_id, nth, removed intervals and kept words of (doc_id, nth, packed, again, starts)."""
 
     def run(batches):
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
             spans, kept, removed = [], [], []
-            for packed, again, starts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            for packed, again, starts in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
                 words = unpack.decompress(packed).split()
                 gone = intervals(np.array((again or []) + (starts or []), dtype=np.int64), window)
                 left, at = [], 0
@@ -202,44 +219,43 @@ def _cut(joined: DataFrame, window: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
+                    batch.column(1),
                     pa.array(removed, pa.int64()),
                     pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
                     pa.array(kept, pa.string()),
                 ],
-                names=["doc_id", "n_removed", "removed", "kept_text"],
+                names=["doc_id", "nth", "n_removed", "removed", "kept_text"],
             )
 
-    return map_arrow(joined, run, "doc_id long, n_removed long, removed array<struct<start:int,end:int>>, kept_text string")
+    return map_arrow(joined, run, "doc_id long, nth int, n_removed long, removed array<struct<start:int,end:int>>, kept_text string")
+
+
+def copies_of_earlier(texts_of: DataFrame, hot: int = HOT, most_hot: int = MOST_HOT) -> DataFrame:
+    """doc_id, nth of the texts (doc_id, nth, digest) that a smaller doc_id has too."""
+    groups = texts_of.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n"))
+    groups = materialize(groups.filter("least < most").drop("most"), "substring-digests")
+    over = max(hot, (groups.agg(F.sum("n")).first()[0] or 0) // most_hot)
+    # groups of over n / most_hot rows are fewer than most_hot, so these may be broadcast
+    few = F.broadcast(groups.filter(F.col("n") > over).drop("n"))
+    other = groups.filter(F.col("n") <= over).drop("n")
+    found = texts_of.join(few, "digest").union(texts_of.join(few, "digest", "left_anti").join(other, "digest"))
+    return found.filter(F.col("least") < F.col("doc_id")).select("doc_id", "nth").distinct()
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[DataFrame, DataFrame]:
-    """(facts, cuts): doc_id, n_words, digest and copy of every document; packed text, again and starts of those to cut."""
+    """(facts, cuts): doc_id, nth, n_words, digest and copy of every document; packed text, again and starts of those to cut."""
+    key = ["doc_id", "nth"]
     scanned = materialize(scan(docs, window, anchor), "substring-scan")
-    copies = (
-        scanned.filter(F.col("n_words") >= window)
-        .groupBy("digest")
-        .agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
-        .filter("n > 1")
-        .select("digest", "least")
-    )
-    copied = materialize(
-        scanned.select("doc_id", "n_words", "digest")
-        .join(copies, "digest")
-        .filter(F.col("least") < F.col("doc_id"))
-        .select("doc_id")
-        .distinct(),
-        "substring-copies",
-    )
-    first = scanned.select("doc_id", F.explode("anchors").alias("anchor")).join(copied, "doc_id", "left_anti")
+    names = _names(scanned)
+    scanned = _named(scanned, names)
+    copied = materialize(copies_of_earlier(scanned.filter(F.col("n_words") >= window).select("doc_id", "nth", "digest")), "substring-copies")
+    first = scanned.select(*key, "anchors").join(copied, key, "left_anti").select(*key, F.explode("anchors").alias("anchor"))
     repeated = first.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
-    wanted = materialize(
-        first.join(repeated, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")), "substring-anchors"
-    )
-    windows = materialize(
-        _windows(_packed(docs).join(wanted, "doc_id").select("doc_id", "packed", "anchors"), window, anchor), "substring-windows"
-    )
-    single = windows.select("doc_id", F.explode(F.arrays_zip("h1", "h2", "at")).alias("w")).select(
-        "doc_id", F.col("w.h1").alias("h1"), F.col("w.h2").alias("h2"), F.col("w.at").alias("at")
+    wanted = materialize(first.join(repeated, "anchor").groupBy(*key).agg(F.collect_set("anchor").alias("anchors")), "substring-anchors")
+    windows = _windows(_packed(docs, names).join(wanted, key).select(*key, "packed", "anchors"), window, anchor)
+    windows = materialize(windows, "substring-windows")
+    single = windows.select(*key, F.explode(F.arrays_zip("h1", "h2", "at")).alias("w")).select(
+        *key, F.col("w.h1").alias("h1"), F.col("w.h2").alias("h2"), F.col("w.at").alias("at")
     )
     earliest = (
         single.groupBy("h1", "h2")
@@ -250,30 +266,25 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
     starts = (
         single.join(earliest, ["h1", "h2"])
         .filter(F.col("least") < F.col("doc_id"))
-        .groupBy("doc_id")
+        .groupBy(*key)
         .agg(F.collect_set("at").alias("starts"))
     )
-    cuts = (
-        windows.select("doc_id", "packed", "again")
-        .join(starts, "doc_id", "left")
-        .filter((F.size("again") > 0) | F.col("starts").isNotNull())
-        .select("doc_id", "packed", "again", "starts")
-    )
-    facts = scanned.select("doc_id", "n_words", "digest").join(
-        copied.withColumn("copy", F.lit(True)), "doc_id", "left"
-    )
+    places = windows.select(*key, "again").dropDuplicates(key).join(starts, key, "left").filter((F.size("again") > 0) | F.col("starts").isNotNull())
+    places = materialize(places, "substring-places")
+    cuts = _packed(docs, names).join(places, key).select(*key, "packed", "again", "starts")
+    facts = scanned.select(*key, "n_words", "digest").join(copied.withColumn("copy", F.lit(True)), key, "left")
     return facts, cuts
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """doc_id, n_words, n_removed, removed intervals, kept_text and kept_sha256 of every document.
+    """doc_id, n_words, n_removed, removed intervals, kept_text, kept_sha256 and the words' own digest of every document.
 
     kept_text is null where nothing is removed: the text stands as it is. Where the whole
     text is removed it is empty.
     """
     facts, cuts = repeated_windows(docs, window, anchor)
     cut = materialize(_cut(cuts, window), "substring-cuts")
-    joined = facts.join(cut.dropDuplicates(["doc_id"]), "doc_id", "left")
+    joined = facts.join(cut.dropDuplicates(["doc_id", "nth"]), ["doc_id", "nth"], "left")
     whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end")))
     return joined.select(
         "doc_id",
@@ -285,9 +296,35 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
         .when(F.col("kept_text").isNotNull(), F.sha2(F.col("kept_text").cast("binary"), 256))
         .otherwise(F.lower(F.hex("digest")))
         .alias("kept_sha256"),
+        "digest",
     )
 
 
+def words_digest(text: Column) -> Column:
+    """SHA-256 of a text's words joined by one space, as ``scan`` has it."""
+    words = F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), SPACE_CLASS, " ")
+    return F.unhex(F.sha2(F.trim(words).cast("binary"), 256))
+
+
+def without_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+    """The rows of ``docs``, all columns as they are but for ``text`` and, where there is one, ``n_chars``: repeated passages are cut out.
+
+    Texts without such a passage stay as they are, and so do rows without a doc_id. Documents of which nothing is left go.
+    """
+    found = substring_dedup(docs, window, anchor).filter("n_removed > 0")
+    facts = F.struct("kept_text", (F.col("n_removed") < F.col("n_words")).alias("some"))
+    same, cut, key, digest = (fresh_name(docs, x) for x in ("same", "cut", "cut_id", "cut_digest"))
+    found = found.select(F.col("doc_id").alias(key), F.col("digest").alias(digest), facts.alias(cut)).dropDuplicates([key, digest])
+    found = materialize(found, "substring-found")
+    marked = docs.withColumn(same, words_digest(F.col("text")))
+    joined = marked.join(found, (F.col("doc_id").cast("long") == F.col(key)) & (F.col(same) == F.col(digest)), "left")
+    kept = joined.filter(F.col(cut).isNull() | F.col(cut)["some"])
+    text = F.coalesce(F.col(cut)["kept_text"], F.col("text"))
+    size = F.when(F.col(cut)["kept_text"].isNotNull(), F.length(F.col(cut)["kept_text"]))
+    changed = {"text": text} | ({"n_chars": F.coalesce(size, F.col("n_chars"))} if "n_chars" in docs.columns else {})
+    return kept.select(*[changed[c].cast(docs.schema[c].dataType).alias(c) if c in changed else F.col(c) for c in docs.columns])
+
+
 def op9_substring_dedup(spark, sf_dir: str) -> DataFrame:
     found = substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
