@@ -3,16 +3,19 @@
 The pieces of an existing vocabulary are the edges of a lattice over each word; a word's
 probability is the sum over all its segmentations of the product of the pieces'
 probabilities, by forward recursion in log space. A text is its words and then one end
-piece. The probabilities start from the vocabulary's own scores (ranks, read as Zipf
-weights) and are re-estimated by expectation-maximization over the training words: each
+piece. The available vocabulary is of the merge type, whose scores are ranks and no probabilities: they are read as
+Zipf weights to start from, and re-estimated by expectation-maximization over the training words (a departure from
+using existing scores as they are; ``rounds=0`` does that). Each
 round adds up the expected uses of each piece over the whole table of distinct words, and
 only those sums, one per piece of the vocabulary, reach the driver.
 
 Words are counted over all documents, so the table of words grows with the corpus. The
-most frequent ``FREQUENT`` words, a bound that the input cannot move, are broadcast with
-their scores; the others are joined, as none of them is frequent enough to be a hot key.
+most frequent words over all documents, held out or not, are broadcast with their scores, ``FREQUENT`` words and
+``FREQUENT_BYTES`` bytes at most, bounds that the input cannot move; the others are joined, as none of them is
+frequent enough to be a hot key.
 
-Edge cases: a null or empty text is the end token alone. Without training documents every
+Edge cases: a null or empty text is the end token alone. A very long text is counted word by word; a very long word
+takes time and memory in proportion to its length. Without training documents every
 count is zero, and the pieces keep their smoothed starting weights. Rows without a doc_id are no documents;
 each of several rows with one doc_id is scored. An empty table gives an empty result.
 Other columns are ignored.
@@ -32,8 +35,8 @@ from pyspark.sql import functions as F
 from gossamer.llm.common import fold_of, id_and_text, map_arrow, materialize, prepare, texts
 from gossamer.llm.piece_codec import BYTE, NORMAL, SPACE, model_path
 
-#: Words that may be broadcast, rounds of re-estimation, weight added to every piece.
-FREQUENT, ROUNDS, SMOOTHING = 200_000, 2, 0.1
+#: Words and bytes of words that may be broadcast, rounds of re-estimation, weight added to every piece.
+FREQUENT, FREQUENT_BYTES, ROUNDS, SMOOTHING = 200_000, 1 << 25, 2, 0.1
 #: Documents whose crc32 modulo FOLDS is HELD_OUT are not learned from.
 FOLDS, HELD_OUT = 7, 2
 #: Distinct words a task counts before it hands them on; words scored at a time.
@@ -173,34 +176,30 @@ def _same_length(words, length, own, logp, weights, expected) -> np.ndarray:
 
 
 def count_words(docs: DataFrame) -> DataFrame:
-    """word (lower-cased A-Z) and c, its count in the training documents (0 where it is held out alone)."""
+    """word (lower-cased A-Z), c, its count in the training documents, and n, that in all documents."""
 
     def run(batches):
-        seen: Counter = Counter()
-        out_of_training: set = set()
+        training: Counter = Counter()
+        others: Counter = Counter()
 
         def flush() -> pa.RecordBatch:
-            seen.update(dict.fromkeys(out_of_training - seen.keys(), 0))
-            words = [w.decode() for w in seen]
-            batch = pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(seen.values(), pa.int64())], names=["word", "c"])
-            seen.clear()
-            out_of_training.clear()
-            return batch
+            words = [*training, *others]
+            c = [*training.values(), *[0] * len(others)]
+            n = [*training.values(), *others.values()]
+            training.clear()
+            others.clear()
+            return pa.RecordBatch.from_arrays([pa.array([w.decode() for w in words], pa.string()), pa.array(c, pa.int64()), pa.array(n, pa.int64())], names=["word", "c", "n"])
 
         for batch in batches:
             for t, fold in zip(texts(batch, 0), batch.column(1).to_pylist()):
-                words = t.lower().split()
-                if fold == HELD_OUT:
-                    out_of_training.update(words)
-                else:
-                    seen.update(words)
-                if len(seen) + len(out_of_training) > FLUSH:
+                (others if fold == HELD_OUT else training).update(t.lower().split())
+                if len(training) + len(others) > FLUSH:
                     yield flush()
-        if seen or out_of_training:
+        if training or others:
             yield flush()
 
     rows = id_and_text(docs).select("text", fold_of("doc_id", FOLDS).alias("fold"))
-    return map_arrow(rows, run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return map_arrow(rows, run, "word string, c long, n long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
 
 
 def _gathered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -240,18 +239,20 @@ def estimate(words: DataFrame, documents: int, path: str, rounds: int = ROUNDS)
     return logp
 
 
-def _cutoff(words: DataFrame, most: int) -> int:
-    """Smallest count of which at most ``most`` words have as much, from the counts of counts (about the root of the corpus)."""
-    total, cut = 0, None
-    for r in words.filter("c > 0").groupBy("c").count().orderBy(F.desc("c")).limit(most + 1).toLocalIterator():
-        total += r["count"]
-        if total > most:
+def _cutoff(words: DataFrame, most: int, most_bytes: int = FREQUENT_BYTES) -> int:
+    """Smallest count of which at most ``most`` words and ``most_bytes`` bytes have as much, from the counts of counts (about the root of the corpus)."""
+    rows = size = 0
+    cut = 2**62
+    counts = words.groupBy("n").agg(F.count("*").alias("words"), F.sum(F.octet_length("word")).alias("bytes"))
+    for r in counts.orderBy(F.desc("n")).limit(most + 1).toLocalIterator():
+        rows, size = rows + r["words"], size + r["bytes"]
+        if rows > most or size > most_bytes:
             break
-        cut = r["c"]
-    return cut if cut is not None else 2**62
+        cut = r["n"]
+    return cut
 
 
-def score_documents(docs: DataFrame, path: str | None = None, frequent: int = FREQUENT) -> DataFrame:
+def score_documents(docs: DataFrame, path: str | None = None, frequent: int = FREQUENT, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     spark = docs.sparkSession
     prepare(spark)
@@ -260,7 +261,7 @@ def score_documents(docs: DataFrame, path: str | None = None, frequent: int = FR
     totals = words.agg(F.sum("c"), F.sum(F.when(F.col("c") > 0, 1))).first()
     ends = id_and_text(docs).filter(fold_of("doc_id", FOLDS) != HELD_OUT).count()
     n, v = (totals[0] or 0) + ends, (totals[1] or 0) + (ends > 0)
-    logp = estimate(words, ends, path)
+    logp = estimate(words, ends, path, rounds)
     shared = spark.sparkContext.broadcast(logp)
     below = math.log10(n + v + 1)
 
@@ -268,33 +269,33 @@ def score_documents(docs: DataFrame, path: str | None = None, frequent: int = FR
         own = vocabulary(path)
         for table in _gathered(batches):
             found = lattice(table["word"].to_pylist(), own, shared.value) / math.log(10)
-            counts = table["c"].to_numpy()
-            out = pa.table({"word": table["word"], "c": table["c"], "base": np.log10(counts + 1.0) - below, "score": found})
-            yield from out.to_batches()
+            base = np.log10(table["c"].to_numpy() + 1.0) - below
+            yield from table.append_column("base", pa.array(base)).append_column("score", pa.array(found)).to_batches()
 
-    scored = materialize(map_arrow(words, with_scores, "word string, c long, base double, score double"), "lm-scores")
+    scored = materialize(map_arrow(words, with_scores, "word string, c long, n long, base double, score double"), "lm-scores")
     cut = _cutoff(words, frequent)
-    top = scored.filter(F.col("c") >= cut).toArrow()  # at most ``frequent`` rows
-    table = dict(zip([w.encode() for w in top["word"].to_pylist()], zip(top["base"].to_pylist(), top["score"].to_pylist())))
+    top = scored.filter(F.col("n") >= cut).select("word", "base", "score", (F.col("c") > 0).cast("int").alias("known")).toArrow()  # bounded by the cut
+    table = dict(zip([w.encode() for w in top["word"].to_pylist()], zip(*(top[c].to_pylist() for c in ("base", "score", "known")))))
     held = spark.sparkContext.broadcast(table)
     end_base = math.log10(ends + 1) - below
     end_score = float(logp[-1] / math.log(10))
 
     def run(batches):
-        known = held.value
+        frequent_words = held.value
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             for t in texts(batch, 1):
                 tokens = t.lower().split()
-                base, score, rare = end_base, end_score, []
+                known, base, score, rare = int(ends > 0), end_base, end_score, []
                 for w, k in Counter(tokens).items():
-                    found = known.get(w)
+                    found = frequent_words.get(w)
                     if found is None:
                         rare.append({"word": w.decode(), "k": k})
                     else:
                         base += k * found[0]
                         score += k * found[1]
-                for column, value in zip(out, (len(tokens) + 1, len(tokens) + (ends > 0) - sum(r["k"] for r in rare), base, score, rare)):
+                        known += k * found[2]
+                for column, value in zip(out, (len(tokens) + 1, known, base, score, rare)):
                     column.append(value)
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.string()), ("k", pa.int64())]))]
             yield pa.RecordBatch.from_arrays(
@@ -304,7 +305,7 @@ def score_documents(docs: DataFrame, path: str | None = None, frequent: int = FR
     rows = map_arrow(id_and_text(docs), run, "doc_id long, n_tokens long, n_known long, base double, score double, rare array<struct<word:string,k:long>>")
     rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "lm-documents")
     rare = rows.select("row", F.explode("rare").alias("r")).select("row", F.col("r.word").alias("word"), F.col("r.k").alias("k"))
-    joined = rare.join(scored.filter(F.col("c") < cut), "word").select(
+    joined = rare.join(scored.filter(F.col("n") < cut).drop("n"), "word").select(
         "row",
         F.lit(None).cast("long").alias("doc_id"),
         F.lit(0).cast("long").alias("n_tokens"),
