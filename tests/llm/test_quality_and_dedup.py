@@ -129,7 +129,7 @@ def test_close_by_table_equals_pairs():
     free = sum(1 << b for b in range(3, 60, 4))
     fixed = r.getrandbits(64) & ~free
     prints = np.array(sorted({fixed | (r.getrandbits(64) & free) for _ in range(400)}), dtype=np.uint64)
-    a = simhash._forest(len(prints), *(x.tolist() for x in simhash._close_by_pairs(prints)))
+    a = simhash._close_by_pairs(prints, np.zeros(len(prints)))
     b = simhash._close_by_table(prints, free)
 
     def parts(links):
@@ -187,3 +187,55 @@ def test_substring_dedup_empty_and_repeated_rows(spark):
     t = " ".join(f"q{i}" for i in range(30))
     got = substring_dedup.substring_dedup(frame(spark, [(1, t), (1, t), (2, t)])).collect()
     assert sorted((r["doc_id"], r["n_removed"]) for r in got) == [(1, 0), (1, 0), (2, 30)]
+
+
+def test_substring_dedup_of_different_texts_with_one_doc_id(spark):
+    t, u = (" ".join(f"{c}{i}" for i in range(30)) for c in "qr")
+    got = substring_dedup.substring_dedup(frame(spark, [(1, t), (2, t), (2, u), (3, f"{u} end")])).collect()
+    assert sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in got) == [(1, 30, 0), (2, 30, 0), (2, 30, 30), (3, 31, 30)]
+
+
+def test_large_groups_of_copies(spark):
+    """Hot digests are broadcast, the others joined; both find the same copies."""
+    rows = [(i, 0, bytes([i % 7 if i % 3 else 9]) * 32) for i in range(400)]
+    texts_of = spark.createDataFrame(rows, "doc_id long, nth int, digest binary")
+    first = {}
+    for i, _, d in rows:
+        first.setdefault(d, i)
+    want = sorted(i for i, _, d in rows if first[d] < i)
+    for hot in (1, 60, 10_000):
+        assert sorted(r["doc_id"] for r in substring_dedup.copies_of_earlier(texts_of, hot=hot).collect()) == want
+
+
+def test_very_long_texts(spark):
+    """Over 200,000 characters: every operator over documents reads them whole."""
+    r = random.Random(11)
+    long = " ".join(f"w{r.randrange(500)}" for _ in range(60_000))
+    rows = [(1, long), (2, "start " + long), (3, "short")]
+    got = {x["doc_id"]: x for x in quality_rules.measures(frame(spark, rows)).collect()}
+    assert got[2]["n_words"] == 60_001
+    assert {x["doc_id"]: x["fp"] & (1 << 64) - 1 for x in simhash.near_duplicates(frame(spark, rows)).collect()} == {i: brute_fingerprint(t) for i, t in rows}
+    want = brute_dedup(rows)
+    for x in substring_dedup.substring_dedup(frame(spark, rows)).collect():
+        assert x["kept_sha256"] == hashlib.sha256(" ".join(want[x["doc_id"]]).encode()).hexdigest()
+
+
+def test_cut_texts_keep_all_columns(spark):
+    """Extra columns with the names that the operator uses, nulls, and repeated rows."""
+    t = " ".join(f"q{i}" for i in range(30))
+    schema = "doc_id long, text string, lang string, source string, n_chars long, n_words int, n_removed int, kept_text string, digest string, cut int, cut_id int, same int"
+    rows = [(i, x, None, "s", 7, 1, 2, "k", "d", 3, 4, 5) for i, x in [(1, t), (2, "a b " + t), (2, "a b " + t), (3, t), (4, None), (None, t), (5, "")]]
+    docs = spark.createDataFrame(rows, schema)
+    got = substring_dedup.without_repeats(docs)
+    assert got.columns == docs.columns
+    found = sorted((x["doc_id"] or 0, x["text"], x["n_chars"], x["kept_text"]) for x in got.collect() if x["text"] is not None)
+    assert found == [(0, t, 7, "k"), (1, t, 7, "k"), (2, "a b", 3, "k"), (2, "a b", 3, "k"), (5, "", 7, "k")]
+    assert got.filter("text IS NULL").count() == 1
+
+
+@pytest.mark.parametrize("name", ["op1_quality_rules", "op4_warc", "op9_substring_dedup"])
+def test_queries_equal_their_sql(name, spark, duck):
+    from gossamer.llm import queries
+    from tests.conftest import SMALL, compare
+
+    compare(queries.QUERIES[name](spark, SMALL), duck.sql(queries.ORACLE_SQL[name]))

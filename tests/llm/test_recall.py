@@ -69,4 +69,4 @@ def test_a_host_is_one_whatever_its_shards(spark, shard_pages):
     rows += [(200 + i, f"http://other{i}/p", page(f"<p>{notice}</p>", i)) for i in range(3)] + [(300, "http://h/a", "<article>kept</article>" + notice)]
     want |= {200 + i: notice for i in range(3)} | {300: "kept"}
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    assert {r["page_id"]: r["text"] for r in html_extract.extract_text(pages, shard_pages=shard_pages).collect()} == want
+    assert {r["page_id"]: r["text"] for r in html_extract.extract_text(pages, shard_tokens=shard_pages).collect()} == want
