@@ -31,11 +31,7 @@ def substring_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Texts without such a passage stay as they are. Documents of which nothing is left go.
     """
-    found = substring_dedup.substring_dedup(docs).filter("n_removed > 0").select("doc_id", "kept_text", "n_removed", "n_words")
-    cut = materialize(found.dropDuplicates(["doc_id"]), "pipeline-cut")
-    joined = docs.join(cut, "doc_id", "left").filter("n_removed IS NULL OR n_removed < n_words")
-    changed = {"text": F.coalesce("kept_text", "text"), "n_chars": F.when(F.col("kept_text").isNotNull(), F.length("kept_text")).otherwise(F.col("n_chars"))}
-    return joined.select(*[changed[c].cast(docs.schema[c].dataType).alias(c) if c in changed else F.col(c) for c in docs.columns])
+    return substring_dedup.without_repeats(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
