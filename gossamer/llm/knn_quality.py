@@ -38,11 +38,11 @@ SAMPLE = 4096
 DIMENSIONS, NEIGHBOURS, POWER, FOLDS, ACCEPT = 48, 15, 32, 5, 0.3
 #: Features of words, as many of runs of three bytes, then levels of six scales: words that repeat the one before,
 #: signs, capitals, words and lines seen before, length. A level's part of the terms' norm, before its IDF.
-TERMS, LEVELS, SCALES, PART = 1 << 13, 16, 6, 1 / 3 / 6**0.5
+TERMS, LEVELS, SCALES, PART = 1 << 12, 16, 6, 1 / 3 / 6**0.5
 N_FEATURES = 2 * TERMS + SCALES * LEVELS
 SIGNS = [bytes([b]) for b in b"#*$%&|<>!=_~^@{}[]"]
-#: Documents that are folded or fitted together.
-TOGETHER = 512
+#: Documents that are folded together, and labelled rows that the driver spreads out at a time.
+TOGETHER, SPREAD = 512, 64
 
 
 def _level(share: float) -> int:
@@ -56,7 +56,7 @@ def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     codes = np.frombuffer(text, dtype=np.uint8)
     of_words = np.fromiter(map(zlib.crc32, text.lower().split()), dtype=np.int64, count=len(words)) & TERMS - 1
     runs = codes.astype(np.uint32)
-    runs = (runs[:-2] << 16 | runs[1:-1] << 8 | runs[2:]) * np.uint32(0x9E3779B1) >> np.uint32(19)
+    runs = (runs[:-2] << 16 | runs[1:-1] << 8 | runs[2:]) * np.uint32(0x9E3779B1) >> np.uint32(20)
     counts = np.concatenate([np.bincount(of_words, minlength=TERMS), np.bincount(runs.astype(np.int64), minlength=TERMS)])
     ids = np.nonzero(counts)[0]
     lines = [x for x in text.split(b"\n") if x.strip()]
@@ -86,9 +86,9 @@ def _unit(rows: np.ndarray) -> np.ndarray:
 
 
 def _dense(rows: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[np.ndarray]:
-    """Rows as dense blocks of ``TOGETHER``."""
-    for k in range(0, len(rows), TOGETHER):
-        part = rows[k : k + TOGETHER]
+    """Rows as dense blocks of ``SPREAD``."""
+    for k in range(0, len(rows), SPREAD):
+        part = rows[k : k + SPREAD]
         out = np.zeros((len(part), N_FEATURES), dtype=np.float32)
         for row, (ids, weights) in zip(out, part):
             row[ids] = weights
@@ -100,7 +100,10 @@ def latent_axes(rows: list[tuple[np.ndarray, np.ndarray]], dimensions: int = DIM
     width = min(dimensions + 8, len(rows), N_FEATURES)
     q = np.random.default_rng(seed).standard_normal((N_FEATURES, width)).astype(np.float32)
     for _ in range(rounds):
-        q, _ = np.linalg.qr(sum(block.T @ (block @ q) for block in _dense(rows)))
+        total = np.zeros_like(q)
+        for block in _dense(rows):
+            total += block.T @ (block @ q)
+        q, _ = np.linalg.qr(total)
     _, _, vt = np.linalg.svd(np.concatenate([block @ q for block in _dense(rows)]), full_matrices=False)
     return (q @ vt.T)[:, : min(dimensions, width)].astype(np.float32)
 
@@ -163,7 +166,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int =
                 [
                     batch.column(0),
                     batch.column(1),
-                    pa.array([i.astype("<i4").tobytes() for i, _ in found], pa.binary()),
+                    pa.array([i.astype("<u2").tobytes() for i, _ in found], pa.binary()),
                     pa.array([w.astype("<f4").tobytes() for _, w in found], pa.binary()),
                 ],
                 names=["doc_id", "y", "ids", "weights"],
@@ -171,13 +174,16 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int =
 
     # the sample's bound is a parameter, so it may be broadcast
     texts_of = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.first("y").alias("y"), F.min("text").alias("text"))
-    found = map_arrow(texts_of, run, "doc_id long, y int, ids binary, weights binary").toArrow().sort_by("doc_id")
+    found = map_arrow(texts_of, run, "doc_id long, y int, ids binary, weights binary").toArrow()
     if not found.num_rows:
         return idf, None, None, None
-    bags = zip(found["ids"].to_pylist(), found["weights"].to_pylist())
-    rows = [_row((np.frombuffer(i, "<i4"), np.frombuffer(w, "<f4").astype(np.float64)), idf) for i, w in bags]
+    order = np.argsort(found["doc_id"].to_numpy()).tolist()
+    known = found["y"].to_numpy()[order].astype(np.float64)
+    bags = ((found["ids"][i].as_py(), found["weights"][i].as_py()) for i in order)
+    rows = [_row((np.frombuffer(i, "<u2"), np.frombuffer(w, "<f4")), idf) for i, w in bags]
+    del found
     axes = latent_axes(rows)
-    return idf, axes, fold(rows, axes), np.array(found["y"].to_pylist(), dtype=np.float64)
+    return idf, axes, fold(rows, axes), known
 
 
 def _scores(found: list[bytes], model: tuple) -> list[float]:
