@@ -78,3 +78,52 @@ def decode_message(hexed: Column) -> Column:
         .when((tag == 3) & (size >= 29), row(at(1), number(hexed, 25, 4), text))
         .when(tag == 4, row(none, null.cast("long"), text))
     )
+
+
+#: The priority class of each message kind.
+PRIORITIES = {"gossip": "high", "ihave": "normal", "graft": "critical", "prune": "low", "sync": "normal"}
+
+
+def priority(kind: Column) -> Column:
+    return F.create_map(*[F.lit(x) for pair in PRIORITIES.items() for x in pair])[kind]
+
+
+def encode_bare(message: Column) -> Column:
+    """A frame without a sender: the magic byte and the message."""
+    return F.concat(F.lit(MAGIC), message)
+
+
+def encode_envelope(sender: Column, message: Column) -> Column:
+    """A frame: the magic byte, the sender as a big-endian 64-bit number, the message."""
+    return F.concat(F.lit(MAGIC), hex_be(sender, 8), message)
+
+
+def envelope_length(message_length: Column) -> Column:
+    return 1 + 8 + message_length
+
+
+def is_frame(hexed: Column) -> Column:
+    """Whether bytes start with the magic byte."""
+    return F.coalesce(F.substring(hexed, 1, 2) == MAGIC, F.lit(False))
+
+
+def decode_envelope(hexed: Column) -> Column:
+    """struct(sender, message); null for another magic byte, a cut-off sender, or a message that doesn't decode."""
+    message = decode_message(F.substr(hexed, F.lit(19)))
+    return F.when(is_frame(hexed) & (F.length(hexed) >= 20) & message.isNotNull(), F.struct(number(hexed, 1, 8).alias("sender"), message.alias("message")))
+
+
+def decode_bare(hexed: Column) -> Column:
+    return F.when(is_frame(hexed), decode_message(F.substr(hexed, F.lit(3))))
+
+
+def encode_announcement(ids: Column, round_: Column) -> Column:
+    """An announcement of an array of encoded ids, up to ``MAX_IDS``; null beyond."""
+    return F.when(F.size(ids) <= MAX_IDS, F.concat(F.lit("02"), hex_be(round_, 4), hex_be(F.size(ids), 2), F.array_join(ids, "")))
+
+
+def announced_ids(hexed: Column) -> Column:
+    """All ids of an announcement, as hexadecimal; null for other frames and cut-off ones."""
+    n = number(hexed, 5, 2)
+    whole = (number(hexed, 0, 1) == 2) & n.between(1, MAX_IDS) & (F.length(hexed) >= 14 + 48 * n)
+    return F.when(whole, F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.substr(hexed, (15 + 48 * i).cast("int"), F.lit(48))))

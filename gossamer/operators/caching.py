@@ -46,3 +46,15 @@ def sample_peers(members: DataFrame, group: str, member: str, k: int, seed: str)
     draw = F.sha2(F.concat_ws(":", F.lit(seed), F.col(member).cast("string")), 256)
     rank = F.row_number().over(Window.partitionBy(group).orderBy(draw))
     return members.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k)
+
+
+def fifo_cache(seen: DataFrame, entry: str, as_of: int, ttl_ms: int, capacity: int) -> DataFrame:
+    """entry, first: what a cache holds; expired entries go first, then the oldest beyond its capacity. A repeat doesn't refresh an entry."""
+    first = seen.groupBy(entry).agg(F.min("ts").alias("first"))
+    return first.filter(F.col("first") >= as_of - ttl_ms).orderBy(F.desc("first"), entry).limit(capacity)
+
+
+def cache_get(asked: DataFrame, cached: DataFrame, entry: str, ttl_ms: int) -> DataFrame:
+    """Adds hit: whether the entry was cached at the asking time (ts) and had not expired, evicted or not."""
+    age = F.col("ts") - F.col("first")
+    return asked.join(cached, entry, "left").withColumn("hit", F.coalesce(age.between(0, ttl_ms), F.lit(False))).drop("first")

@@ -59,3 +59,34 @@ def health(nodes: DataFrame) -> DataFrame:
         .otherwise("healthy")
     )
     return nodes.withColumn("status", status)
+
+
+def counter_rates(samples: DataFrame, width_ms: int, *by: str) -> DataFrame:
+    """by, bucket, increase, per_s of counters (ts, seq, reading): a reading below the one before it is a reset and counts whole."""
+    w = Window.partitionBy(*by).orderBy("ts", "seq")
+    before = F.lag("reading").over(w)
+    step = F.when(before.isNull(), 0).when(F.col("reading") < before, F.col("reading")).otherwise(F.col("reading") - before)
+    bucket = (F.floor(F.col("ts") / width_ms) * width_ms).alias("bucket")
+    out = samples.select(*by, "ts", step.alias("step")).groupBy(*by, bucket).agg(F.sum("step").alias("increase"))
+    return out.withColumn("per_s", F.round(F.col("increase") * 1000 / width_ms, 6))
+
+
+def repair_ratios(counts: DataFrame) -> DataFrame:
+    """Adds the ratios of counters (succeeded, failed, retried, added, removed, promoted, demoted, delivered, sent): success of repairs, that
+    with a guarded divisor, retries per repair, churn, promotions per demotion, and a health score of at most 1."""
+    c = F.col
+    tried = c("succeeded") + c("failed")
+    return counts.select(
+        "*",
+        F.round(F.try_divide(c("succeeded"), tried), 6).alias("success"),
+        F.round(c("succeeded") / (tried + 0.001), 6).alias("guarded_success"),
+        F.round(F.try_divide(c("retried"), tried), 6).alias("retry_rate"),
+        (c("added") + c("removed")).alias("churn"),
+        F.round(F.try_divide(c("promoted"), c("demoted")), 6).alias("promotion_ratio"),
+        F.least(F.round(F.try_divide(c("delivered"), c("sent")), 6), F.lit(1.0)).alias("health"),
+    )
+
+
+def severity(value, warning: float, critical: float):
+    """ok, warning or critical by two thresholds."""
+    return F.when(value > critical, "critical").when(value > warning, "warning").otherwise("ok")

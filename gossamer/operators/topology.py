@@ -47,7 +47,7 @@ def hybrid_scores(placed: DataFrame, scores: DataFrame) -> DataFrame:
     """
     other = placed.select("cluster", F.col("node").alias("peer"), F.col("pos").alias("peer_pos"))
     d = ring_distance(F.col("pos"), F.col("peer_pos"), F.col("n"))
-    near = F.when(F.col("n") > 1, 1 - d / (F.col("n") / 2)).otherwise(0.5)
+    near = F.when(F.col("n") > 1, F.least(F.greatest(1 - d / F.floor(F.col("n") / 2), F.lit(0.0)), F.lit(1.0))).otherwise(0.5)
     net = scores.select(F.col("node").alias("peer"), F.least(F.greatest("normalized", F.lit(0.0)), F.lit(1.0)).alias("net"))
     return (
         placed.join(other, "cluster")
@@ -99,3 +99,27 @@ def bfs_rounds(edges: DataFrame, sources: DataFrame, rounds: int | None = None)
         reached = reached.union(frontier)
         if k % 4 == 0:
             reached = reached.checkpoint() if durable else reached.localCheckpoint()
+
+
+def nearest_lazy(placed: DataFrame, eager: DataFrame, fanout: int) -> DataFrame:
+    """node, peer: the nearest peer on the ring that is not eager, predecessors before successors.
+
+    A node has ``fanout`` eager peers at most, so one of its ``fanout`` + 1 nearest on either side is lazy: no pairs are made.
+    """
+    steps = F.array(*[F.struct(F.lit(k).alias("offset"), F.lit(side).alias("side")) for k in range(1, fanout + 2) for side in (0, 1)])
+    asked = placed.select("cluster", "node", "pos", "n", F.explode(steps).alias("at"))
+    place = F.pmod(F.col("pos") + F.when(F.col("at.side") == 0, -F.col("at.offset")).otherwise(F.col("at.offset")), F.col("n"))
+    there = placed.select("cluster", F.col("pos").alias("place"), F.col("node").alias("peer"))
+    near = asked.select("cluster", "node", "at", place.alias("place")).join(there, ["cluster", "place"]).filter("node <> peer")
+    return near.join(eager, ["node", "peer"], "left_anti").groupBy("node").agg(F.min_by("peer", "at").alias("peer"))
+
+
+def peer_counts(placed: DataFrame, eager: DataFrame, target: int) -> DataFrame:
+    """node, eager, lazy, total, eager_ratio, sufficient (as many eager peers as the target or all)."""
+    held = eager.groupBy("node").agg(F.count("*").alias("eager"))
+    out = placed.select("node", (F.col("n") - 1).alias("total")).join(held, "node", "left").withColumn("eager", F.coalesce("eager", F.lit(0)))
+    return out.select(
+        "node", "eager", (F.col("total") - F.col("eager")).alias("lazy"), "total",
+        F.round(F.coalesce(F.try_divide("eager", "total"), F.lit(0.0)), 6).alias("eager_ratio"),
+        (F.col("eager") >= F.least(F.lit(target), "total")).alias("sufficient"),
+    )

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
+from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gossamer import bindings as B
@@ -174,7 +175,7 @@ def xor_digest(spark, d):
 @query(f"""WITH {R}, x AS (SELECT ts // 100 AS w, sha256(id || ':' || payload) AS h FROM a), y AS (SELECT ts // 100 AS w, sha256(id || ':' || payload) AS h FROM b),
 dx AS (SELECT w, count(*) AS n, {_LANES} FROM x GROUP BY w), dy AS (SELECT w, count(*) AS n, {_LANES} FROM y GROUP BY w)
 SELECT coalesce(dx.w, dy.w) AS window, coalesce(dx.n, 0) AS n_a, coalesce(dy.n, 0) AS n_b FROM dx FULL JOIN dy ON dx.w = dy.w
-WHERE dx.lane0 IS DISTINCT FROM dy.lane0 OR dx.lane1 IS DISTINCT FROM dy.lane1""")
+WHERE {" OR ".join(f"dx.lane{i} IS DISTINCT FROM dy.lane{i}" for i in range(8))}""")
 def digest_differing_windows(spark, d):
     return store.windowed_digests(B.replica(spark, d, 3), B.replica(spark, d, 7), 100)
 
@@ -182,23 +183,28 @@ def digest_differing_windows(spark, d):
 # -- scores --------------------------------------------------------------
 
 
+#: The default preset with its times stretched to the days that the tables cover.
+PRESET = replace(scoring.DEFAULT, half_life_ms=DAY, max_age_ms=7 * DAY)
+
+
 def _samples(spark, d):
     return B.messages(spark, d).select(F.col("node").alias("peer"), "ts", "seq", F.col("value").alias("rtt"), (F.col("kind") == "error").alias("failed"))
 
 
 def _scores(spark, d):
-    return scoring.peer_scores(_samples(spark, d), AS_OF)
+    return scoring.peer_scores(_samples(spark, d), AS_OF, PRESET)
 
 
 _SCORES = f"""{M}, g AS (
   SELECT node AS peer, list(greatest(value, {scoring.LEAST_RTT}) ORDER BY ts, seq) FILTER (kind <> 'error') AS o,
-    coalesce(sum(exp({-math.log(2) / scoring.HALF_LIFE_MS!r} * ({AS_OF} - ts))) FILTER (kind = 'error'), 0) AS failures,
+    coalesce(sum(exp({-math.log(2) / PRESET.half_life_ms!r} * ({AS_OF} - ts))) FILTER (kind = 'error'), 0) AS failures,
     max(ts) FILTER (kind <> 'error') AS last
   FROM messages GROUP BY node
 ),
-e AS (SELECT peer, list_reduce(o, lambda a, x: {scoring.ALPHA} * x + {1 - scoring.ALPHA} * a) AS ema, list_min(o) AS lowest, list_max(o) AS highest,
-  len(o) AS samples, failures, last, coalesce(failures / nullif(len(o) + failures, 0), 0) AS loss FROM g),
-scores AS (SELECT *, 1000 / pow(greatest(ema, {scoring.LEAST_RTT}) + {scoring.FLOOR_MS}, {scoring.EXPONENT}) / (1 + loss * {scoring.PENALTY}) AS score FROM e)"""
+f AS (SELECT * REPLACE (CASE WHEN failures < {scoring.LEAST_FAILURES} THEN 0 ELSE failures END AS failures) FROM g),
+e AS (SELECT peer, list_reduce(o, lambda a, x: {PRESET.alpha} * x + {1 - PRESET.alpha} * a) AS ema, list_min(o) AS lowest, list_max(o) AS highest,
+  len(o) AS samples, failures, last, coalesce(failures / nullif(len(o) + failures, 0), 0) AS loss FROM f),
+scores AS (SELECT *, 1000 / pow(greatest(ema, {scoring.LEAST_RTT}) + {PRESET.floor_ms}, {PRESET.exponent}) / (1 + loss * {PRESET.penalty}) AS score FROM e)"""
 
 
 @query(f"WITH {_SCORES} SELECT peer, round(ema, 6) AS ema, lowest, highest, samples, round(failures, 6) AS failures, round(loss, 6) AS loss, round(score, 6) AS score FROM scores")
@@ -207,27 +213,27 @@ def peer_scores(spark, d):
     return _scores(spark, d).select("peer", r("ema"), "lowest", "highest", "samples", r("failures"), r("loss"), r("score"))
 
 
-@query(f"""WITH {_SCORES} SELECT count(*) AS peers, count(*) FILTER (samples >= {scoring.MIN_SAMPLES}) AS reliable,
-  count(*) FILTER ({AS_OF} - last > {scoring.MAX_AGE_MS}) AS stale, round(avg(ema), 6) AS mean_rtt, round(avg(score), 6) AS mean_score FROM scores""")
+@query(f"""WITH {_SCORES} SELECT count(*) AS peers, count(*) FILTER (samples >= {PRESET.min_samples}) AS reliable,
+  count(*) FILTER ({AS_OF} - last > {PRESET.max_age_ms}) AS stale, round(avg(ema), 6) AS mean_rtt, round(avg(score), 6) AS mean_score FROM scores""")
 def scoring_stats(spark, d):
-    return scoring.stats(_scores(spark, d), AS_OF)
+    return scoring.stats(_scores(spark, d), AS_OF, PRESET)
 
 
-@query(f"WITH {_SCORES} SELECT peer, round(score, 6) AS score FROM scores WHERE {AS_OF} - last <= {scoring.MAX_AGE_MS} ORDER BY scores.score DESC, peer LIMIT 10")
+@query(f"WITH {_SCORES} SELECT peer, round(score, 6) AS score FROM scores WHERE {AS_OF} - last <= {PRESET.max_age_ms} ORDER BY scores.score DESC, peer LIMIT 10")
 def best_peers(spark, d):
     """Top-k: ten is the feature."""
-    return scoring.best(_scores(spark, d), AS_OF, 10).select("peer", F.round("score", 6).alias("score"))
+    return scoring.best(_scores(spark, d), AS_OF, 10, preset=PRESET).select("peer", F.round("score", 6).alias("score"))
 
 
-@query(f"WITH {_SCORES} SELECT peer, round(score, 6) AS score FROM scores WHERE {AS_OF} - last <= {scoring.MAX_AGE_MS} ORDER BY scores.score, peer LIMIT 10")
+@query(f"WITH {_SCORES} SELECT peer, round(score, 6) AS score FROM scores WHERE {AS_OF} - last <= {PRESET.max_age_ms} ORDER BY scores.score, peer LIMIT 10")
 def worst_peers(spark, d):
     """Top-k: ten is the feature."""
-    return scoring.best(_scores(spark, d), AS_OF, 10, worst=True).select("peer", F.round("score", 6).alias("score"))
+    return scoring.best(_scores(spark, d), AS_OF, 10, worst=True, preset=PRESET).select("peer", F.round("score", 6).alias("score"))
 
 
-@query(f"WITH {_SCORES} SELECT peer, round(CASE WHEN {AS_OF} - last <= {scoring.MAX_AGE_MS} THEN coalesce(score / (score + 10), 0.5) ELSE 0.5 END, 6) AS normalized FROM scores")
+@query(f"WITH {_SCORES} SELECT peer, round(CASE WHEN {AS_OF} - last <= {PRESET.max_age_ms} THEN coalesce(score / (score + 10), 0.5) ELSE 0.5 END, 6) AS normalized FROM scores")
 def normalized_scores(spark, d):
-    return scoring.normalized(_scores(spark, d), AS_OF).select("peer", F.round("normalized", 6).alias("normalized"))
+    return scoring.normalized(_scores(spark, d), AS_OF, preset=PRESET).select("peer", F.round("normalized", 6).alias("normalized"))
 
 
 @query(f"""WITH RECURSIVE {M}, o AS (SELECT node, ts, row_number() OVER (PARTITION BY node ORDER BY ts, seq) AS k FROM messages),
@@ -271,7 +277,7 @@ def _hybrid(spark, d):
 
 _HYBRID = f"""{_RING}, pairs AS (
   SELECT x.cluster, x.node, y.node AS peer, x.n, least(((y.pos - x.pos) % x.n + x.n) % x.n, ((x.pos - y.pos) % x.n + x.n) % x.n) AS d FROM ring x JOIN ring y USING (cluster) WHERE x.node <> y.node),
-hybrid AS (SELECT cluster, node, peer, d <= 2 AS is_ring, 0.4 * (1 - d / (n / 2)) + 0.6 * least(peer % 11 / 10, 1.0) AS score FROM pairs)"""
+hybrid AS (SELECT cluster, node, peer, d <= 2 AS is_ring, 0.4 * greatest(least(1 - d / (n // 2), 1.0), 0.0) + 0.6 * least(peer % 11 / 10, 1.0) AS score FROM pairs)"""
 
 
 @query(f"WITH {_HYBRID} SELECT cluster, node, peer, is_ring, round(score, 6) AS score FROM hybrid")
@@ -618,3 +624,104 @@ def compression_ratio(spark, d):
     return s.groupBy("round").agg(
         F.sum(F.length("raw")).alias("bytes_in"), F.sum(F.length("packed")).alias("bytes_out"), F.count_if(flag).alias("compressed"), F.count_if(~flag).alias("skipped")
     )
+
+
+# -- frames, peers, caches and ratios --------------------------------------
+
+
+def _envelopes(spark, d):
+    return _frames(spark, d).withColumn("envelope", codec.encode_envelope(F.col("node"), F.col("frame")))
+
+
+@query(f"""WITH {M} SELECT seq, node AS sender, CASE kind WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END AS tag,
+  CASE kind WHEN 'view' THEN 33 + octet_length(encode(payload)) WHEN 'click' THEN 31 WHEN 'signup' THEN 29 ELSE 1 END + 9 AS bytes,
+  CASE kind WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END AS bare_tag, true AS framed, true AS cut_is_null, true AS other_is_null
+FROM messages WHERE kind <> 'purchase'""")
+def envelope_roundtrip(spark, d):
+    """Envelopes and bare frames decoded again; cut-off ones and another magic byte give null."""
+    x = _envelopes(spark, d).withColumn("x", codec.decode_envelope(F.col("envelope")))
+    return x.select(
+        "seq", "x.sender", F.col("x.message.tag").cast("int").alias("tag"),
+        codec.envelope_length(codec.encoded_length(F.col("k"), F.col("payload"), F.lit(1))).alias("bytes"),
+        codec.decode_bare(codec.encode_bare(F.col("frame")))["tag"].cast("int").alias("bare_tag"),
+        codec.is_frame(F.col("envelope")).alias("framed"),
+        codec.decode_envelope(F.substring("envelope", 1, 18)).isNull().alias("cut_is_null"),
+        codec.decode_envelope(F.concat(F.lit("4f"), F.substr("envelope", F.lit(3)))).isNull().alias("other_is_null"),
+    )
+
+
+@query(f"""WITH {M}, b AS (SELECT node, seq, {_HEX('ts', 8)} || {_HEX('seq', 8)} || {_HEX('node', 8)} AS id,
+  (row_number() OVER (PARTITION BY node ORDER BY ts, seq) - 1) // 16 AS batch FROM messages WHERE kind = 'click')
+SELECT node, batch, id, count(*) OVER (PARTITION BY node, batch) AS ids FROM b""")
+def announcement_ids(spark, d):
+    """Announcements of up to 16 ids each, encoded and taken apart again."""
+    m = B.messages(spark, d).filter("kind = 'click'").withColumn("id", codec.encode_id(F.col("ts"), F.col("seq"), F.col("node")))
+    w = Window.partitionBy("node").orderBy("ts", "seq")
+    dealt = m.withColumn("batch", F.floor((F.row_number().over(w) - 1) / 16)).groupBy("node", "batch").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    found = dealt.withColumn("ids", codec.announced_ids(codec.encode_announcement(F.col("ids"), F.lit(0))))
+    return found.select("node", "batch", F.explode("ids").alias("id"), F.size("ids").cast("long").alias("ids"))
+
+
+@query(f"""WITH {M} SELECT CASE kind WHEN 'signup' THEN 'critical' WHEN 'view' THEN 'high' WHEN 'error' THEN 'low' ELSE 'normal' END AS priority, count(*) AS n FROM messages GROUP BY ALL""")
+def message_priority(spark, d):
+    kind = F.create_map(*[F.lit(x) for pair in B.KIND.items() for x in pair])[F.col("kind")]
+    return B.messages(spark, d).groupBy(codec.priority(kind).alias("priority")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {M}, c AS (SELECT node, count(*) FILTER (kind = 'view') AS succeeded, count(*) FILTER (kind = 'error') AS failed, count(*) FILTER (kind = 'click') AS retried,
+  count(*) FILTER (kind = 'signup') AS added, count(*) FILTER (kind = 'purchase') AS removed FROM messages GROUP BY node)
+SELECT node, round(succeeded / nullif(succeeded + failed, 0), 6) AS success, round(succeeded / (succeeded + failed + 0.001), 6) AS guarded_success,
+  round(retried / nullif(succeeded + failed, 0), 6) AS retry_rate, added + removed AS churn, round(added / nullif(removed, 0), 6) AS promotion_ratio,
+  CASE WHEN retried = 0 THEN NULL ELSE least(round(succeeded / retried, 6), 1.0) END AS health,
+  CASE WHEN failed / nullif(succeeded + failed, 0) > 0.3 THEN 'critical' WHEN failed / nullif(succeeded + failed, 0) > 0.1 THEN 'warning' ELSE 'ok' END AS severity FROM c""")
+def repair_ratios(spark, d):
+    of = lambda kind: F.count_if(F.col("kind") == kind)
+    c = B.messages(spark, d).groupBy("node").agg(
+        of("view").alias("succeeded"), of("error").alias("failed"), of("click").alias("retried"), of("signup").alias("added"), of("purchase").alias("removed"),
+        of("signup").alias("promoted"), of("purchase").alias("demoted"), of("view").alias("delivered"), of("click").alias("sent"),
+    )
+    out = monitoring.repair_ratios(c)
+    failing = F.try_divide("failed", F.col("succeeded") + F.col("failed"))
+    return out.select("node", "success", "guarded_success", "retry_rate", "churn", "promotion_ratio", "health", monitoring.severity(failing, 0.1, 0.3).alias("severity"))
+
+
+@query(f"""WITH {M}, r AS (SELECT node, ts, CAST(floor(value) AS BIGINT) AS reading, lag(CAST(floor(value) AS BIGINT)) OVER (PARTITION BY node ORDER BY ts, seq) AS before FROM messages),
+s AS (SELECT node, ts // {DAY} * {DAY} AS bucket, CASE WHEN before IS NULL THEN 0 WHEN reading < before THEN reading ELSE reading - before END AS step FROM r)
+SELECT node, bucket, CAST(sum(step) AS BIGINT) AS increase, round(sum(step) * 1000 / {DAY}, 6) AS per_s FROM s GROUP BY node, bucket""")
+def counter_rates(spark, d):
+    m = B.messages(spark, d).filter("value IS NOT NULL").withColumn("reading", F.floor("value"))
+    return monitoring.counter_rates(m, DAY, "node")
+
+
+@query(f"""WITH {_EDGES}, c AS (SELECT node, count(*) AS eager FROM edges GROUP BY node)
+SELECT node, coalesce(eager, 0) AS eager, n - 1 - coalesce(eager, 0) AS lazy, n - 1 AS total,
+  CASE WHEN n = 1 THEN 0.0 ELSE round(coalesce(eager, 0) / (n - 1), 6) END AS eager_ratio, coalesce(eager, 0) >= least(2, n - 1) AS sufficient FROM ring LEFT JOIN c USING (node)""")
+def peer_counts(spark, d):
+    placed = topology.ring(B.peers(spark, d))
+    return topology.peer_counts(placed, topology.eager_edges(placed, 2), 2)
+
+
+@query(f"""WITH {_EDGES}, p AS (SELECT x.node, y.node AS peer, (x.pos - y.pos + x.n) % x.n AS back, (y.pos - x.pos + x.n) % x.n AS ahead FROM ring x JOIN ring y USING (cluster) WHERE x.node <> y.node)
+SELECT node, arg_min(peer, (least(back, ahead), CASE WHEN back <= ahead THEN 0 ELSE 1 END)) AS peer FROM p ANTI JOIN edges USING (node, peer) GROUP BY node""")
+def nearest_lazy(spark, d):
+    placed = topology.ring(B.peers(spark, d))
+    return topology.nearest_lazy(placed, topology.eager_edges(placed, 2), 2)
+
+
+@query(f"""WITH {M} SELECT msg_id, min(ts) AS first FROM messages GROUP BY msg_id HAVING min(ts) >= {AS_OF} - {30 * DAY} ORDER BY first DESC, msg_id LIMIT 200""")
+def cache_fifo(spark, d):
+    """A cache's own capacity: 200 entries."""
+    return caching.fifo_cache(B.messages(spark, d), "msg_id", AS_OF, 30 * DAY, 200)
+
+
+@query(f"""WITH {M}, f AS (SELECT msg_id, min(ts) AS first FROM messages WHERE kind = 'view' GROUP BY msg_id)
+SELECT m.seq, m.msg_id, coalesce(m.ts - f.first BETWEEN 0 AND {DAY}, false) AS hit FROM messages m LEFT JOIN f USING (msg_id) WHERE m.kind = 'view'""")
+def cache_get(spark, d):
+    m = B.messages(spark, d).filter("kind = 'view'").select("seq", "msg_id", "ts")
+    return caching.cache_get(m, m.groupBy("msg_id").agg(F.min("ts").alias("first")), "msg_id", DAY).select("seq", "msg_id", "hit")
+
+
+@query(f"WITH {_SCORES} SELECT peer, highest - lowest AS rtt_range FROM scores WHERE {AS_OF} - last <= {PRESET.max_age_ms}")
+def fresh_ranges(spark, d):
+    """What is left when stale scores are dropped, with the range of each peer's round trips."""
+    return scoring.drop_stale(_scores(spark, d), AS_OF, PRESET).select("peer", (F.col("highest") - F.col("lowest")).alias("rtt_range"))
