@@ -50,7 +50,7 @@ from pyspark.sql import functions as F
 from gossamer.llm.common import map_arrow, materialize, prepare
 
 #: Tokens of the shortest run that counts, distinct pages on which a run is boilerplate, tokens of a shard.
-MIN_RUN, MIN_PAGES, SHARD_TOKENS = 6, 3, 200_000
+MIN_RUN, MIN_PAGES, SHARD_TOKENS = 6, 3, 20_000
 #: Pages of boilerplate that a slot beside an article counts as from the start, share of repeated text from which it goes.
 PRIOR, REPEATED_SHARE = 20, 0.3
 
