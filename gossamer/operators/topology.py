@@ -7,6 +7,8 @@ from itertools import count
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gossamer.operators.lineage import cut
+
 
 def ring_hash(column: str) -> Column:
     """A 60-bit hash that other engines can compute too: the head of a SHA-256."""
@@ -81,24 +83,21 @@ def bfs_rounds(edges: DataFrame, sources: DataFrame, rounds: int | None = None)
     """node, round: the round in which a message from ``sources`` first reaches each node.
 
     A frontier is joined with the edges and what is reached is taken out, until no node is new.
-    ``rounds`` is a guard: where a frontier is left after so many, an error is raised. Lineage is cut
-    in the checkpoint folder where the session has one, and on the executors elsewhere.
+    ``rounds`` is a guard: where a frontier is left after so many, an error is raised.
     """
-    spark = edges.sparkSession
     reached = sources.select("node", F.lit(0).cast("long").alias("round")).distinct()
     frontier = reached
-    durable = spark.sparkContext.getCheckpointDir() is not None
     for k in count(1):
         arrived = frontier.select("node").join(edges, "node").select(F.col("peer").alias("node")).distinct()
         frontier = arrived.join(reached, "node", "left_anti").withColumn("round", F.lit(k).cast("long"))
-        frontier = frontier.checkpoint() if durable else frontier.localCheckpoint()
+        frontier = cut(frontier)
         if not frontier.limit(1).count():
             return reached
         if rounds is not None and k > rounds:
             raise RuntimeError(f"nodes are still reached after {rounds} rounds")
         reached = reached.union(frontier)
         if k % 4 == 0:
-            reached = reached.checkpoint() if durable else reached.localCheckpoint()
+            reached = cut(reached)
 
 
 def nearest_lazy(placed: DataFrame, eager: DataFrame, fanout: int) -> DataFrame:
