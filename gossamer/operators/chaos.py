@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -37,3 +37,28 @@ def reorder(messages: DataFrame, key: str, share: float, least_ms: int, most_ms:
 def valid_under_skew(age_ms: Column, sender_skew: Column, receiver_skew: Column, most_ms: int) -> Column:
     """Whether a message's age, as the skewed clocks see it, is between zero and ``most_ms``."""
     return (age_ms - (sender_skew - receiver_skew)).between(0, most_ms)
+
+
+def cascade(nodes: DataFrame, group: str, start_ms: int, delay_ms: int) -> DataFrame:
+    """node, failed_at: the nodes of each group fail one after the other, in order of id."""
+    r = F.row_number().over(Window.partitionBy(group).orderBy("node"))
+    return nodes.select("node", (F.lit(start_ms) + (r - 1) * F.lit(delay_ms)).cast("long").alias("failed_at"))
+
+
+def under_isolation(messages: DataFrame, failures: DataFrame, healed_at: int | None = None) -> DataFrame:
+    """Adds blocked: whether a message's source or target was cut off from all others when it was sent.
+
+    An isolated node stands for its pairs with every other node, so no pairs are made.
+    """
+    at = lambda end: failures.select(F.col("node").alias(end), F.col("failed_at").alias(f"{end}_failed"))
+    cut = F.least("src_failed", "dst_failed") <= F.col("ts")
+    if healed_at is not None:
+        cut &= F.col("ts") < healed_at
+    out = messages.join(at("src"), "src", "left").join(at("dst"), "dst", "left")
+    return out.withColumn("blocked", F.coalesce(cut, F.lit(False))).select(*messages.columns, "blocked")
+
+
+def heal(cut: DataFrame, healed: DataFrame) -> DataFrame:
+    """Cut pairs (src, dst) without the healed ones, in both directions."""
+    both = healed.select("src", "dst").union(healed.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return cut.join(both, ["src", "dst"], "left_anti")

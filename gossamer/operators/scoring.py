@@ -91,6 +91,11 @@ def drop_stale(scores: DataFrame, as_of: int, preset: Preset = DEFAULT) -> DataF
 
 def token_bucket(requests: DataFrame, key: str, rate_per_s: float, burst: float) -> DataFrame:
     """key, allowed, denied: each request takes a token of its key's bucket, refilled with time up to ``burst``."""
+    return bucket_states(requests, key, rate_per_s, burst).select(key, "allowed", "denied")
+
+
+def bucket_states(requests: DataFrame, key: str, rate_per_s: float, burst: float) -> DataFrame:
+    """key, tokens, at (time of the last request), allowed, denied of each key's bucket after all requests."""
     state = F.struct(F.lit(burst).alias("tokens"), F.lit(None).cast("long").alias("at"), F.lit(0).cast("long").alias("allowed"), F.lit(0).cast("long").alias("denied"))
 
     def step(a: Column, x: Column) -> Column:
@@ -105,4 +110,15 @@ def token_bucket(requests: DataFrame, key: str, rate_per_s: float, burst: float)
         )
 
     ordered = requests.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("ts", "seq"))).alias("r"))
-    return ordered.select(key, F.aggregate("r", state, step).alias("s")).select(key, "s.allowed", "s.denied")
+    return ordered.select(key, F.aggregate("r", state, step).alias("s")).select(key, "s.tokens", "s.at", "s.allowed", "s.denied")
+
+
+def tokens_at(states: DataFrame, as_of: int, rate_per_s: float, burst: float) -> DataFrame:
+    """Adds available: the tokens at ``as_of``, without taking any."""
+    refilled = F.col("tokens") + (F.lit(as_of) - F.col("at")) / 1000 * rate_per_s
+    return states.withColumn("available", F.least(F.lit(burst), refilled))
+
+
+def live_buckets(states: DataFrame, as_of: int, idle_ms: int, burst: float) -> DataFrame:
+    """Buckets that a clean-up keeps: used within ``idle_ms``, or not full when last used."""
+    return states.filter((F.col("at") > as_of - idle_ms) | (F.col("tokens") < burst - 0.1))

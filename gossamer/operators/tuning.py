@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,3 +71,78 @@ def role_flaps(changes: DataFrame, key: str, role: Column) -> DataFrame:
     w = Window.partitionBy(key).orderBy("ts", "seq")
     flap = F.lag(role).over(w) != role
     return changes.select(key, flap.alias("f")).groupBy(key).agg(F.count_if("f").alias("flaps"))
+
+
+@dataclass(frozen=True)
+class Cleanup:
+    """Parameters of adaptive clean-up, in ms where they are times."""
+
+    base_ms: int = 30_000
+    least_ms: int = 5_000
+    most_ms: int = 120_000
+    high: float = 0.8
+    low: float = 0.3
+    hysteresis: float = 0.03
+    drop_some: float = 0.93
+    drop_most: float = 0.96
+    block_new: float = 0.98
+    high_load: float = 1000.0
+    target_ms: float = 50.0
+    smoothing: float = 0.15
+    ttl_divisor: float = 4.0
+    ttl_cap: float = 2.0
+    least_batch: float = 10.0
+    most_batch: float = 500.0
+
+
+def cleanup_plan(utilization: Column, rate: Column, was_aggressive: Column, ttl_ms: Column, p: Cleanup = Cleanup()) -> Column:
+    """struct(backpressure, reason, aggressive, interval_ms) of a cache's next clean-up.
+
+    The two thresholds move by the hysteresis with what the last clean-up was. Between them the interval falls
+    linearly; it is no shorter than a part of the TTL, nor, unless pressure is extreme, than the least interval.
+    """
+    high = F.when(was_aggressive, p.high - p.hysteresis).otherwise(p.high + p.hysteresis)
+    low = F.when(was_aggressive, p.low + p.hysteresis).otherwise(p.low - p.hysteresis)
+    loaded = rate > p.high_load
+    pressure = (
+        F.when((utilization >= p.block_new) & loaded, "block_new")
+        .when(utilization >= p.drop_most, "drop_most")
+        .when(utilization >= p.drop_some, "drop_some")
+        .otherwise("none")
+    )
+    reason = F.when(pressure != "none", "critical").when(utilization > high, "high").when(utilization < low, "low").otherwise("moderate")
+    place = F.least(F.greatest((utilization - low) / (high - low), F.lit(0.0)), F.lit(1.0))
+    extreme = pressure.isin("block_new", "drop_most")
+    base = (
+        F.when(extreme, p.least_ms / 2)
+        .when(pressure == "drop_some", p.least_ms)
+        .when(reason == "high", F.when(loaded, 2 * p.least_ms).otherwise(p.least_ms))
+        .when(reason == "low", min(p.most_ms, 2 * p.base_ms))
+        .otherwise(F.floor(p.most_ms - place * (p.most_ms - p.base_ms)))
+    )
+    by_ttl = F.when(ttl_ms > 0, F.least(ttl_ms / p.ttl_divisor, F.lit(p.most_ms * p.ttl_cap))).otherwise(0.0)
+    interval = F.greatest(base, by_ttl, F.when(extreme, 0).otherwise(p.least_ms)).cast("double")
+    return F.struct(
+        pressure.alias("backpressure"), reason.alias("reason"), reason.isin("critical", "high").alias("aggressive"), interval.alias("interval_ms")
+    )
+
+
+def cleanup_batch(target: Column, last_ms: Column, efficiency: Column, trend_: Column, p: Cleanup = Cleanup()) -> Column:
+    """The next target of a clean-up's batch: the last one scaled by duration, efficiency and its trend, then smoothed, between bounds.
+
+    ``efficiency`` is null until there are enough clean-ups.
+    """
+    bounded = lambda x: F.least(F.greatest(x, F.lit(p.least_batch)), F.lit(p.most_batch))
+    ratio = F.least(F.greatest(F.lit(p.target_ms) / F.greatest(last_ms, F.lit(1)), F.lit(0.5)), F.lit(2.0))
+    factor = F.when(efficiency.isNull(), 1.0).otherwise(efficiency_factor(efficiency))
+    by_trend = F.when(trend_ == "up", 0.95).when(trend_ == "down", 1.05).otherwise(1.0)
+    return bounded(p.smoothing * bounded(target * ratio * factor * by_trend) + (1 - p.smoothing) * target)
+
+
+def cleanup_stats(runs: DataFrame, key: str) -> DataFrame:
+    """key, cycles, mean_ms, max_ms, removed, scanned, efficiency and aggressive of clean-ups (duration_ms, removed, scanned, aggressive)."""
+    out = runs.groupBy(key).agg(
+        F.count("*").alias("cycles"), F.avg("duration_ms").alias("mean_ms"), F.max("duration_ms").alias("max_ms"),
+        F.sum("removed").alias("removed"), F.sum("scanned").alias("scanned"), F.count_if("aggressive").alias("aggressive"),
+    )
+    return out.withColumn("efficiency", F.least(F.try_divide("removed", "scanned"), F.lit(1.0)))

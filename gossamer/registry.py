@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gossamer.plans import catalog
+from gossamer.plans import catalog, membership  # noqa: F401 (membership registers its queries in the catalog)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
