@@ -42,7 +42,7 @@ def histogram_quantile(buckets: DataFrame, q: float, *by: str) -> DataFrame:
 def alert_islands(series: DataFrame, condition, step_ms: int, hold: int, *by: str) -> DataFrame:
     """by, first, last, buckets: runs of at least ``hold`` neighbouring buckets that meet a condition."""
     w = Window.partitionBy(*by).orderBy("bucket")
-    island = F.col("bucket") - F.row_number().over(w) * step_ms
+    island = F.col("bucket") - F.row_number().over(w).cast("long") * step_ms
     runs = series.filter(condition).withColumn("island", island)
     out = runs.groupBy(*by, "island").agg(F.min("bucket").alias("first"), F.max("bucket").alias("last"), F.count("*").alias("buckets"))
     return out.filter(F.col("buckets") >= hold).drop("island")
