@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from itertools import count
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,19 +74,63 @@ def demote(candidates: DataFrame, k: int) -> DataFrame:
 
 
 def eager_edges(placed: DataFrame, fanout: int) -> DataFrame:
-    """node, peer: predecessor, successor, their seconds, then long range, distinct, up to ``fanout``."""
+    """cluster, node, peer: predecessor, successor, their seconds, then long range, distinct, up to ``fanout``."""
     order = F.when(F.col("kind") == "adjacent", F.lit(0)).when(F.col("kind") == "second", 2).otherwise(4) + F.when(F.col("step") < 0, 0).otherwise(1)
-    first = neighbours(placed).withColumn("o", order).groupBy("node", "neighbour").agg(F.min("o").alias("o"))
+    first = neighbours(placed).withColumn("o", order).groupBy("node", "neighbour").agg(F.min("o").alias("o"), F.min("cluster").alias("cluster"))
     w = Window.partitionBy("node").orderBy("o")
-    return first.filter("node <> neighbour").withColumn("r", F.row_number().over(w)).filter(F.col("r") <= fanout).select("node", F.col("neighbour").alias("peer"))
-
-
-def bfs_rounds(edges: DataFrame, sources: DataFrame, rounds: int | None = None) -> DataFrame:
+    return first.filter("node <> neighbour").withColumn("r", F.row_number().over(w)).filter(F.col("r") <= fanout).select("cluster", "node", F.col("neighbour").alias("peer"))
+
+
+#: Edges that one task searches at a time; larger parts are searched round by round.
+PART_EDGES = 2_000_000
+
+
+def _search(part: pa.Table, limit: int | None) -> pa.Table:
+    """node, round of one part: its edges (source, target), and its sources as targets of rows without a source."""
+    ids = pa.chunked_array([*part["source"].chunks, *part["target"].chunks]).combine_chunks().dictionary_encode(null_encoding="encode")
+    codes, n = ids.indices.to_numpy().astype(np.int64), len(ids.dictionary)
+    begins = part["source"].is_null().to_numpy()
+    source, target = codes[: len(begins)][~begins], codes[len(begins) :][~begins]
+    order = np.argsort(source, kind="stable")
+    first, to = np.searchsorted(source[order], np.arange(n + 1)).tolist(), target[order].tolist()
+    queue, rounds = np.unique(codes[len(begins) :][begins]).tolist(), [-1] * n
+    for node in queue:
+        rounds[node] = 0
+    for node in queue:  # which grows as it is read
+        for peer in to[first[node] : first[node + 1]]:
+            if rounds[peer] < 0:
+                rounds[peer] = rounds[node] + 1
+                queue.append(peer)
+    if limit is not None and queue and rounds[queue[-1]] > limit:
+        raise RuntimeError(f"nodes are still reached after {limit} rounds")
+    return pa.table({"node": ids.dictionary.take(pa.array(queue, pa.int64())), "round": pa.array([rounds[x] for x in queue], pa.int64())})
+
+
+def _unfit(edges: DataFrame, sources: DataFrame, part: str) -> DataFrame:
+    """The parts that no one task can search: those of too many edges, and those that share a node with another."""
+    large = edges.groupBy(part).count().filter(F.col("count") > PART_EDGES).select(part)
+    held = edges.select(part, F.explode(F.array("node", "peer")).alias("node")).union(sources.select(part, "node")).distinct()
+    shared = held.withColumns({"low": F.min(part).over(Window.partitionBy("node")), "high": F.max(part).over(Window.partitionBy("node"))})
+    return large.union(shared.filter("low <> high").select(part)).distinct()
+
+
+def bfs_rounds(edges: DataFrame, sources: DataFrame, rounds: int | None = None, part: str | None = None) -> DataFrame:
     """node, round: the round in which a message from ``sources`` first reaches each node.
 
-    A frontier is joined with the edges and what is reached is taken out, until no node is new.
-    ``rounds`` is a guard: where a frontier is left after so many, an error is raised.
+    Where ``edges`` and ``sources`` have a column ``part``, whose values no edge crosses, each part is searched whole by one task,
+    however many rounds it takes. Parts of over ``PART_EDGES`` edges, those that share nodes, and edges without parts go round by round:
+    a frontier is joined with the edges and what is reached is taken out, until no node is new. ``rounds`` is a guard: where nodes are
+    left after so many, an error is raised.
     """
+    if part is not None:
+        unfit = _unfit(edges, sources, part)
+        some = unfit.limit(1).count()
+        fit = [df.join(unfit, part, "left_anti") if some else df for df in (edges, sources)]
+        node = edges.schema["node"].dataType
+        rows = fit[0].filter("node IS NOT NULL AND peer IS NOT NULL").select(part, F.col("node").alias("source"), F.col("peer").alias("target"))
+        rows = rows.union(fit[1].select(part, F.lit(None).cast(node).alias("source"), F.col("node").cast(node).alias("target")))
+        found = rows.groupBy(part).applyInArrow(lambda t: _search(t, rounds), f"node {node.simpleString()}, round bigint")
+        return found.union(bfs_rounds(edges.join(unfit, part, "left_semi"), sources.join(unfit, part, "left_semi"), rounds)) if some else found
     reached = sources.select("node", F.lit(0).cast("long").alias("round")).distinct()
     frontier = reached
     for k in count(1):

@@ -305,7 +305,7 @@ edges AS (SELECT node, neighbour AS peer FROM o QUALIFY row_number() OVER (PARTI
 
 @query(f"WITH {_EDGES} SELECT node, peer FROM edges")
 def eager_topology(spark, d):
-    return topology.eager_edges(topology.ring(B.peers(spark, d)), 2)
+    return topology.eager_edges(topology.ring(B.peers(spark, d)), 2).select("node", "peer")
 
 
 @query(f"""WITH RECURSIVE {_EDGES}, first AS (SELECT min(node) AS node FROM ring GROUP BY cluster),
@@ -317,7 +317,7 @@ walk(node, round) USING KEY (node) AS (
 SELECT node, CAST(round AS BIGINT) AS round FROM walk""")
 def dissemination_rounds(spark, d):
     placed = topology.ring(B.peers(spark, d))
-    return topology.bfs_rounds(topology.eager_edges(placed, 2), placed.groupBy("cluster").agg(F.min("node").alias("node")).select("node"))
+    return topology.bfs_rounds(topology.eager_edges(placed, 2), placed.groupBy("cluster").agg(F.min("node").alias("node")), part="cluster")
 
 
 # -- queues --------------------------------------------------------------
