@@ -44,19 +44,31 @@ def ring_distance(a: Column, b: Column, n: Column) -> Column:
     return F.least(F.pmod(b - a, n), F.pmod(a - b, n))
 
 
+#: Members of a cluster on each side of one block of pairs, and about as many pairs as a task should make.
+BLOCK, TASK_PAIRS = 1_000, 4_000_000
+
+
 def hybrid_scores(placed: DataFrame, scores: DataFrame) -> DataFrame:
     """cluster, node, peer, is_ring, score for every pair of one cluster: 0.4 nearness on the ring, 0.6 network score.
 
-    Pairs stay within a cluster, whose size bounds them. ``scores``: node, normalized.
+    The pairs grow with the square of a cluster; they are made in blocks of ``BLOCK`` by ``BLOCK`` members, dealt to as many tasks as
+    they need. ``scores``: node, normalized.
     """
-    other = placed.select("cluster", F.col("node").alias("peer"), F.col("pos").alias("peer_pos"))
+    net = scores.select(F.col("node").alias("peer"), F.least(F.greatest("normalized", F.lit(0.0)), F.lit(1.0)).alias("net"))
+    block = lambda c: F.floor(F.col(c) / BLOCK)
+    blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / BLOCK)))
+    mine = placed.select("cluster", "node", "pos", "n", block("pos").alias("mine"), blocks.alias("theirs"))
+    other = placed.select("cluster", F.col("node").alias("peer"), F.col("pos").alias("peer_pos"), block("pos").alias("theirs"), "n").join(net, "peer", "left")
+    other = other.select("cluster", "peer", "peer_pos", "net", "theirs", blocks.alias("mine"))
+    pairs = placed.groupBy("cluster").agg(F.max("n").alias("n")).agg(F.sum(F.col("n").cast("double") * F.col("n"))).first()[0] or 0
+    key = ["cluster", "mine", "theirs"]
+    tasks = max(1, min(int(pairs / TASK_PAIRS) + 1, 50_000))
     d = ring_distance(F.col("pos"), F.col("peer_pos"), F.col("n"))
     near = F.when(F.col("n") > 1, F.least(F.greatest(1 - d / F.floor(F.col("n") / 2), F.lit(0.0)), F.lit(1.0))).otherwise(0.5)
-    net = scores.select(F.col("node").alias("peer"), F.least(F.greatest("normalized", F.lit(0.0)), F.lit(1.0)).alias("net"))
     return (
-        placed.join(other, "cluster")
+        mine.repartition(tasks, *key)
+        .join(other.repartition(tasks, *key), key)
         .filter("node <> peer")
-        .join(net, "peer", "left")
         .select("cluster", "node", "peer", (d <= 2).alias("is_ring"), (0.4 * near + 0.6 * F.coalesce("net", F.lit(0.5))).alias("score"))
     )
 

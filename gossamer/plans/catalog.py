@@ -270,9 +270,9 @@ def ring_neighbours(spark, d):
     return topology.neighbours(topology.ring(B.peers(spark, d)))
 
 
-def _hybrid(spark, d):
-    scores = B.peers(spark, d).select("node", (F.col("node") % 11 / 10).alias("normalized"))
-    return topology.hybrid_scores(topology.ring(B.peers(spark, d)), scores)
+def _scored_ring(spark, d):
+    scores = B.peers(spark, d).select("node", (F.col("node") % 11 / 10).alias("normalized")).distinct()
+    return topology.ring(B.peers(spark, d)), scores
 
 
 _HYBRID = f"""{_RING}, pairs AS (
@@ -282,7 +282,7 @@ hybrid AS (SELECT cluster, node, peer, d <= 2 AS is_ring, 0.4 * greatest(least(1
 
 @query(f"WITH {_HYBRID} SELECT cluster, node, peer, is_ring, round(score, 6) AS score FROM hybrid")
 def hybrid_score(spark, d):
-    return _hybrid(spark, d).withColumn("score", F.round("score", 6))
+    return topology.hybrid_scores(*_scored_ring(spark, d)).withColumn("score", F.round("score", 6))
 
 
 _HASH = "('0x' || substr(sha256(peer::VARCHAR), 1, 15))::BIGINT"
@@ -290,12 +290,12 @@ _HASH = "('0x' || substr(sha256(peer::VARCHAR), 1, 15))::BIGINT"
 
 @query(f"WITH {_HYBRID} SELECT node, peer, row_number() OVER (PARTITION BY node ORDER BY is_ring DESC, round(score, 9) DESC, {_HASH}) AS rank FROM hybrid QUALIFY rank <= 3")
 def promote_topk(spark, d):
-    return topology.promote(_hybrid(spark, d), 3).select("node", "peer", "rank")
+    return topology.promote(topology.hybrid_scores(*_scored_ring(spark, d)), 3).select("node", "peer", "rank")
 
 
 @query(f"WITH {_HYBRID} SELECT node, peer, row_number() OVER (PARTITION BY node ORDER BY round(score, 9), peer) AS rank FROM hybrid WHERE NOT is_ring QUALIFY rank <= 2")
 def demote_bottomk(spark, d):
-    return topology.demote(_hybrid(spark, d), 2).select("node", "peer", "rank")
+    return topology.demote(topology.hybrid_scores(*_scored_ring(spark, d)), 2).select("node", "peer", "rank")
 
 
 _EDGES = f"""{_NEAR}, o AS (SELECT node, neighbour, min(CASE kind WHEN 'adjacent' THEN 0 WHEN 'second' THEN 2 ELSE 4 END + CASE WHEN step < 0 THEN 0 ELSE 1 END) AS o

@@ -15,3 +15,15 @@ def test_hybrid_scores_by_whole_half_rings(spark, n):
     for (a, b), score in got.items():
         d = min((pos[a] - pos[b]) % n, (pos[b] - pos[a]) % n)
         assert abs(score - 0.4 * min(1.0, max(0.0, 1 - d / (n // 2)))) < 1e-9
+
+
+def test_pairs_are_made_in_blocks_by_many_tasks(spark, monkeypatch):
+    placed = topology.ring(spark.range(50).selectExpr("1 AS cluster", "id AS node"))
+    scores = spark.range(50).selectExpr("id AS node", "id % 11 / 10D AS normalized")
+    rows = lambda df: sorted((r["node"], r["peer"], r["is_ring"], r["score"]) for r in df.collect())
+    whole = rows(topology.hybrid_scores(placed, scores))
+    monkeypatch.setattr(topology, "BLOCK", 7)
+    monkeypatch.setattr(topology, "TASK_PAIRS", 500)
+    pairs = topology.hybrid_scores(placed, scores)
+    assert pairs.rdd.getNumPartitions() >= 5
+    assert rows(pairs) == whole and len(whole) == 50 * 49
