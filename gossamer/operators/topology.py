@@ -52,7 +52,7 @@ def hybrid_scores(placed: DataFrame, scores: DataFrame) -> DataFrame:
     """cluster, node, peer, is_ring, score for every pair of one cluster: 0.4 nearness on the ring, 0.6 network score.
 
     The pairs grow with the square of a cluster; they are made in blocks of ``BLOCK`` by ``BLOCK`` members, dealt to as many tasks as
-    they need. ``scores``: node, normalized.
+    they need. ``scores``: node, normalized. Where only the best or worst pairs count, ``candidates`` does without the others.
     """
     net = scores.select(F.col("node").alias("peer"), F.least(F.greatest("normalized", F.lit(0.0)), F.lit(1.0)).alias("net"))
     block = lambda c: F.floor(F.col(c) / BLOCK)
@@ -73,6 +73,105 @@ def hybrid_scores(placed: DataFrame, scores: DataFrame) -> DataFrame:
     )
 
 
+#: Scores are ranked by 9 digits, so that those less than this apart may tie; peers kept beyond the wanted ones for such ties.
+TIE, SPARE = 2e-9, 16
+
+
+def _best(values: np.ndarray, length: int, keep: int) -> np.ndarray:
+    """Places of the ``keep`` greatest values of each window of ``length`` that starts 3 after a place of the ring; ``values`` hold it twice.
+
+    Windows of 1, 2, 4 .. places are merged from halves, and a window from those of its length's binary digits.
+    """
+
+    def merge(a, b):
+        at = np.concatenate([a, b], axis=1)
+        if at.shape[1] > keep:
+            at = np.take_along_axis(at, np.argpartition(-values[at], keep - 1, axis=1)[:, :keep], axis=1)
+        return at
+
+    n = len(values) // 2
+    values = np.append(values, -np.inf)  # what lies beyond the end
+    level, start, width, found = np.arange(2 * n)[:, None], np.arange(n) + 3, 1, None
+    while width <= length:
+        if length & width:
+            found = level[start] if found is None else merge(found, level[start])
+            start = start + width
+        level = merge(level, np.concatenate([level[width:], np.full((min(width, 2 * n), level.shape[1]), 2 * n)]))
+        width *= 2
+    return found
+
+
+def _candidates(ring: pa.Table, k: int, lowest: bool) -> pa.Table:
+    """The rows of ``candidates`` for one cluster."""
+    ring = ring.sort_by("pos")
+    n, pos, net = ring["n"][0].as_py(), ring["pos"].to_numpy(), ring["net"].to_numpy()
+    codes = ring["node"].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy().astype(np.int64)
+    sign, m, half = -1.0 if lowest else 1.0, len(pos), n // 2
+    plain = m == n and len(np.unique(codes)) == m and codes.min() >= 0
+    xs, ys, ss = [], [], []
+
+    def scored(x, y):
+        d = np.minimum((pos[y] - pos[x]) % n, (pos[x] - pos[y]) % n)
+        near = np.minimum(np.maximum(1 - d / half, 0.0), 1.0) if n > 1 else np.full(d.shape, 0.5)
+        fit = (codes[x] != codes[y]) & (codes[x] >= 0) & (codes[y] >= 0)
+        return d, 0.4 * near + 0.6 * net[y], fit
+
+    def add(x, y, s):
+        xs.append(x), ys.append(y), ss.append(s)
+
+    def scan(x, near_too):
+        y = np.arange(m)
+        d, s, fit = scored(x, y)
+        away = fit & (d > 2)
+        value = np.where(away, sign * s, -np.inf)
+        least = np.partition(value, m - k)[m - k] if m > k else -np.inf
+        chosen = (away & (value >= least - TIE)) | (fit & (d <= 2) & near_too)
+        add(np.full(chosen.sum(), x), y[chosen], s[chosen])
+
+    if not plain or n <= 4 * (k + SPARE):
+        for x in range(m):
+            scan(x, not lowest)
+    else:
+        x = np.arange(n)[:, None]
+        if not lowest:
+            y = (x + np.array([1, 2, n - 2, n - 1])) % n
+            add(np.repeat(np.arange(n), 4), y.ravel(), scored(x, y)[1].ravel())
+        if lowest or k > 4:  # else the four ring neighbours are all that is wanted
+            keep, at = k + SPARE, np.arange(2 * n)
+            tilt = 0.4 / half * at
+            after = _best(sign * (0.6 * np.tile(net, 2) - tilt), half - 2, keep) % n
+            before = n - 1 - _best(sign * (0.6 * np.tile(net[::-1], 2) - tilt), n - half - 3, keep)[::-1] % n
+            y = np.concatenate([after, before], axis=1)
+            s = scored(x, y)[1]
+            value = sign * s
+            bound = np.partition(value, 2 * keep - k, axis=1)[:, 2 * keep - k, None] - TIE
+            # a side whose worst kept peer is out of the question has no further ones
+            done = (value[:, :keep].min(axis=1) < bound[:, 0] - TIE) & (value[:, keep:].min(axis=1) < bound[:, 0] - TIE)
+            row, column = np.nonzero((value >= bound) & done[:, None])
+            add(row, y[row, column], s[row, column])
+            for one in np.flatnonzero(~done):
+                scan(one, False)
+    x, y, s = (np.concatenate([np.zeros(0, t), *z]) for z, t in ((xs, np.int64), (ys, np.int64), (ss, np.float64)))
+    d = np.minimum((pos[y] - pos[x]) % n, (pos[x] - pos[y]) % n)
+    node = ring["node"].combine_chunks()
+    cols = {"cluster": ring["cluster"].combine_chunks().take(pa.array(x)), "node": node.take(pa.array(x)), "peer": node.take(pa.array(y)), "is_ring": pa.array(d <= 2), "score": pa.array(s)}
+    return pa.table(cols)
+
+
+def candidates(placed: DataFrame, scores: DataFrame, k: int, lowest: bool = False) -> DataFrame:
+    """The rows of ``hybrid_scores`` that may be among a node's ``k`` to promote or, ``lowest``, to demote, and few others.
+
+    A score falls evenly with the distance on either side, so the best peers of a side are the greatest of a window of
+    values that do not depend on the node: one task finds them for a whole ring in n log n steps and about 1 KB a member. A node
+    with more ties than are kept is compared with its whole cluster.
+    """
+    net = scores.select("node", F.least(F.greatest("normalized", F.lit(0.0)), F.lit(1.0)).alias("net"))
+    ring = placed.filter("cluster IS NOT NULL").join(net, "node", "left").select("cluster", "node", "pos", "n", F.coalesce("net", F.lit(0.5)).cast("double").alias("net"))
+    kind = {f.name: f.dataType.simpleString() for f in placed.schema}
+    out = f"cluster {kind['cluster']}, node {kind['node']}, peer {kind['node']}, is_ring boolean, score double"
+    return ring.groupBy("cluster").applyInArrow(lambda t: _candidates(t, k, lowest), out)
+
+
 def promote(candidates: DataFrame, k: int) -> DataFrame:
     """The ``k`` peers that a node should promote: ring neighbours first, then by score, ties by hash."""
     order = Window.partitionBy("node").orderBy(F.desc("is_ring"), F.desc(F.round("score", 9)), ring_hash("peer"))

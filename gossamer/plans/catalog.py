@@ -290,7 +290,7 @@ _HASH = "('0x' || substr(sha256(peer::VARCHAR), 1, 15))::BIGINT"
 
 @query(f"WITH {_HYBRID} SELECT node, peer, row_number() OVER (PARTITION BY node ORDER BY is_ring DESC, round(score, 9) DESC, {_HASH}) AS rank FROM hybrid QUALIFY rank <= 3")
 def promote_topk(spark, d):
-    return topology.promote(topology.hybrid_scores(*_scored_ring(spark, d)), 3).select("node", "peer", "rank")
+    return topology.promote(topology.candidates(*_scored_ring(spark, d), 3), 3).select("node", "peer", "rank")
 
 
 @query(f"WITH {_HYBRID} SELECT node, peer, row_number() OVER (PARTITION BY node ORDER BY round(score, 9), peer) AS rank FROM hybrid WHERE NOT is_ring QUALIFY rank <= 2")
