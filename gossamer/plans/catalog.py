@@ -295,7 +295,7 @@ def promote_topk(spark, d):
 
 @query(f"WITH {_HYBRID} SELECT node, peer, row_number() OVER (PARTITION BY node ORDER BY round(score, 9), peer) AS rank FROM hybrid WHERE NOT is_ring QUALIFY rank <= 2")
 def demote_bottomk(spark, d):
-    return topology.demote(topology.hybrid_scores(*_scored_ring(spark, d)), 2).select("node", "peer", "rank")
+    return topology.demote(topology.candidates(*_scored_ring(spark, d), 2, lowest=True), 2).select("node", "peer", "rank")
 
 
 _EDGES = f"""{_NEAR}, o AS (SELECT node, neighbour, min(CASE kind WHEN 'adjacent' THEN 0 WHEN 'second' THEN 2 ELSE 4 END + CASE WHEN step < 0 THEN 0 ELSE 1 END) AS o
