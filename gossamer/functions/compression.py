@@ -5,7 +5,6 @@ from __future__ import annotations
 import gzip
 import zlib
 
-import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,12 +32,15 @@ def _unpack(data: bytes) -> bytes | None:
         return None
 
 
-@F.pandas_udf(T.BinaryType())
-def pack(payload: pd.Series) -> pd.Series:
-    return payload.map(lambda x: None if x is None else _pack(bytes(x)))
+# Spark hands rows to these by the hundred; Arrow batches of 10,000 texts grow with the texts.
 
 
-@F.pandas_udf(T.BinaryType())
-def unpack(packed: pd.Series) -> pd.Series:
+@F.udf(T.BinaryType(), useArrow=False)
+def pack(payload):
+    return None if payload is None else _pack(bytes(payload))
+
+
+@F.udf(T.BinaryType(), useArrow=False)
+def unpack(packed):
     """Null for an unknown algorithm or broken data."""
-    return packed.map(lambda x: None if x is None else _unpack(bytes(x)))
+    return None if packed is None else _unpack(bytes(packed))
