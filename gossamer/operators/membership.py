@@ -14,13 +14,19 @@ from gossamer.operators.topology import ring_hash
 
 def ring_flags(known: DataFrame, reach: int = 2) -> DataFrame:
     """Adds is_ring: whether a peer is within ``reach`` places of its node on the ring of the node and its peers."""
-    own = known.select("node", F.col("node").alias("peer")).distinct().withColumn("self", F.lit(True))
-    members = known.withColumn("self", F.lit(False)).unionByName(own, allowMissingColumns=True)
     by = Window.partitionBy("node")
-    placed = members.withColumn("pos", F.row_number().over(by.orderBy(ring_hash("peer"), "peer", "self"))).withColumn("n", F.count("*").over(by))
-    away = F.pmod(F.col("pos") - F.max(F.when(F.col("self"), F.col("pos"))).over(by), F.col("n"))
-    flagged = placed.withColumn("is_ring", F.least(away, F.col("n") - away) <= reach).filter(~F.col("self"))
-    return flagged.select(*known.columns, "is_ring")
+    own = F.col("node").cast(known.schema["peer"].dataType)
+    hashed = known.withColumn("hash", ring_hash("peer")).withColumn("own", own).withColumn("own_hash", ring_hash("own"))
+    ahead = F.struct(F.col("hash").alias("a"), F.col("peer").alias("b")) <= F.struct(F.col("own_hash").alias("a"), F.col("own").alias("b"))
+    placed = hashed.withColumns({"at": F.row_number().over(by.orderBy("hash", "peer")), "ahead": F.count_if(ahead).over(by), "n": F.count("*").over(by) + 1})
+    # the node itself stands behind the peers ahead of it, and those at or behind its place move on by one
+    away = F.pmod(F.when(F.col("at") > F.col("ahead"), F.col("at")).otherwise(F.col("at") - 1) - F.col("ahead"), F.col("n"))
+    return placed.withColumn("is_ring", F.least(away, F.col("n") - away) <= reach).select(*known.columns, "is_ring")
+
+
+def _by_node(joins: DataFrame) -> DataFrame:
+    """Known joins, dealt out once by node: every step behind it has its rows at hand."""
+    return joins.filter("node IS NOT NULL AND peer IS NOT NULL").repartition("node")
 
 
 def admit(joins: DataFrame, fanout: int, most: int) -> DataFrame:
@@ -28,23 +34,25 @@ def admit(joins: DataFrame, fanout: int, most: int) -> DataFrame:
 
     The first ``fanout`` peers of a node are eager, others lazy up to ``most`` in all; nobody is evicted.
     """
-    again = F.row_number().over(Window.partitionBy("node", "peer").orderBy("ts", "seq"))
-    first = joins.withColumn("again", again)
-    fresh = first.filter("again = 1").withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy("ts", "seq", "peer")))
-    places = fresh.select("node", "peer", "place")
+    pair = Window.partitionBy("node", "peer").orderBy("ts", "seq")
+    seen = {"again": F.row_number().over(pair), "first_ts": F.first("ts").over(pair), "first_seq": F.first("seq").over(pair)}
+    place = F.dense_rank().over(Window.partitionBy("node").orderBy("first_ts", "first_seq", "peer"))
     outcome = (
         F.when(F.col("place") > most, "limit_reached")
         .when(F.col("again") > 1, "already_exists")
         .when(F.col("place") <= fanout, "added_eager")
         .otherwise("added_lazy")
     )
-    return first.join(places, ["node", "peer"]).select("node", "peer", "ts", "seq", outcome.alias("outcome"))
+    return _by_node(joins).withColumns(seen).withColumn("place", place).select("node", "peer", "ts", "seq", outcome.alias("outcome"))
 
 
-def topology(joins: DataFrame, fanout: int, most: int) -> DataFrame:
-    """node, peer, role after all ``joins``."""
-    role = F.when(F.col("outcome") == "added_eager", "eager").otherwise("lazy")
-    return admit(joins, fanout, most).filter(F.col("outcome").startswith("added")).select("node", "peer", role.alias("role"))
+def topology(joins: DataFrame, fanout: int, most: int, *measures: Column) -> DataFrame:
+    """node, peer, role after all ``joins``, refused (the first peer beyond ``most`` of the node, if any), and ``measures`` over all joins of the pair."""
+    pairs = _by_node(joins).groupBy("node", "peer").agg(F.min(F.struct("ts", "seq")).alias("first"), *measures)
+    place = F.row_number().over(Window.partitionBy("node").orderBy("first.ts", "first.seq", "peer"))
+    known = pairs.withColumn("place", place).filter(F.col("place") <= most + 1)
+    known = known.withColumn("refused", F.max(F.when(F.col("place") > most, F.col("peer"))).over(Window.partitionBy("node"))).filter(F.col("place") <= most)
+    return known.withColumn("role", F.when(F.col("place") <= fanout, "eager").otherwise("lazy")).select("node", "peer", "role", "refused", *pairs.columns[3:])
 
 
 def initial_split(known: DataFrame, fanout: int, draw: Column) -> DataFrame:
@@ -78,9 +86,12 @@ def promote(roles: DataFrame, asked: DataFrame, max_eager: int) -> DataFrame:
     return out.withColumn("role", F.when(F.col("changed"), "eager").otherwise(F.col("role"))).select(*roles.columns, "changed")
 
 
-def demote(roles: DataFrame, asked: DataFrame) -> DataFrame:
-    """Adds changed: eager peers among ``asked`` become lazy; ring neighbours refuse."""
-    held = roles.join(asked.select("node", "peer", F.lit(True).alias("asked")).distinct(), ["node", "peer"], "left")
+def demote(roles: DataFrame, asked: DataFrame | Column) -> DataFrame:
+    """Adds changed: eager peers among ``asked`` become lazy; ring neighbours refuse. ``asked`` is a table (node, peer) or a condition on ``roles``."""
+    if isinstance(asked, Column):
+        held = roles.withColumn("asked", asked)
+    else:
+        held = roles.join(asked.select("node", "peer", F.lit(True).alias("asked")).distinct(), ["node", "peer"], "left")
     out = held.withColumn("changed", F.coalesce("asked", F.lit(False)) & (F.col("role") == "eager") & ~F.col("is_ring"))
     return out.withColumn("role", F.when(F.col("changed"), "lazy").otherwise(F.col("role"))).select(*roles.columns, "changed")
 

@@ -63,3 +63,31 @@ def test_first_failure_wins(spark):
     x = spark.createDataFrame([(0, 0), (1, 0), (1, None), (1, 2)], "eager_fanout int, max_peers int")
     got = [r[0] for r in x.select(checks.config_error({c: F.col(c) for c in x.columns})).collect()]
     assert got == ["eager_fanout must be > 0", "max_peers must be > 0 when set", None, None]
+
+
+def test_ring_flags_by_places(spark):
+    import hashlib
+
+    head = lambda x: (int(hashlib.sha256(str(x).encode()).hexdigest()[:15], 16), x)
+    sizes = [1, 2, 3, 4, 5, 9, 30]
+    known = [(n, p) for n in range(len(sizes)) for p in range(n % 2, n % 2 + sizes[n])]  # some hold themselves
+    wanted = {}
+    for n in range(len(sizes)):
+        ring = sorted([(*head(p), 0) for m, p in known if m == n] + [(*head(n), 1)])
+        own = next(i for i, x in enumerate(ring) if x[2])
+        wanted |= {(n, x[1]): min((i - own) % len(ring), (own - i) % len(ring)) <= 2 for i, x in enumerate(ring) if not x[2]}
+    got = membership.ring_flags(spark.createDataFrame(known, "node long, peer long")).collect()
+    assert {(r["node"], r["peer"]): r["is_ring"] for r in got} == wanted and len(got) == len(known)
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_topologies_deal_their_joins_out_once(spark):
+    joins = spark.createDataFrame([(1, p, t, t) for t, p in enumerate([5, 6, 5, 7, 8])], "node long, peer long, ts long, seq long")
+    roles = membership.ring_flags(membership.topology(joins, 1, 3, F.bool_or(F.col("seq") == 0).alias("asked")))
+    done = membership.demote(roles, F.col("asked"))
+    assert exchanges(done) == 1
+    assert exchanges(membership.admit(joins, 1, 3)) == 1
+    assert {(r["peer"], r["role"], r["refused"]) for r in roles.collect()} == {(5, "eager", 8), (6, "lazy", 8), (7, "lazy", 8)}
