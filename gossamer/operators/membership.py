@@ -133,20 +133,22 @@ def rebalance(roles: DataFrame, target: int, shrink: bool = True) -> DataFrame:
     return out.withColumn("role", role).select(*roles.columns, "changed")
 
 
-def eviction_pick(roles: DataFrame, newcomers: DataFrame) -> DataFrame:
+def eviction_pick(roles: DataFrame, newcomers: DataFrame | None = None) -> DataFrame:
     """node, newcomer, evicted: which lazy peer outside the ring goes for a newcomer; null where none may go.
 
-    The pick is a hash of the sorted peers and the newcomer, modulo the number of candidates. A node's peers are bounded by its own limit.
+    ``newcomers``: node, newcomer; without it, the column refused of ``roles``. The pick is a hash of the sorted peers and the newcomer, modulo the number of candidates. A node's peers are bounded by its own limit.
     """
     lists = roles.groupBy("node").agg(
         F.sort_array(F.collect_list("peer")).alias("known"),
         F.sort_array(F.collect_list(F.when((F.col("role") == "lazy") & ~F.col("is_ring"), F.col("peer")))).alias("free"),
+        *([F.max("refused").alias("newcomer")] if newcomers is None else []),
     )
+    lists = lists.filter("newcomer IS NOT NULL") if newcomers is None else newcomers.join(lists, "node")
     text = F.concat_ws(",", F.transform("known", lambda p: p.cast("string")), F.col("newcomer").cast("string"))
     digest = F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long")
     n = F.size("free")
     pick = F.when(n > 0, F.try_element_at("free", (F.pmod(digest, F.greatest(n, F.lit(1))) + 1).cast("int")))
-    return newcomers.join(lists, "node").select("node", "newcomer", pick.alias("evicted"))
+    return lists.select("node", "newcomer", pick.alias("evicted"))
 
 
 def best_from(candidates: DataFrame, scores: DataFrame, initial: float, k: int) -> DataFrame:

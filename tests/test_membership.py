@@ -91,3 +91,12 @@ def test_topologies_deal_their_joins_out_once(spark):
     assert exchanges(done) == 1
     assert exchanges(membership.admit(joins, 1, 3)) == 1
     assert {(r["peer"], r["role"], r["refused"]) for r in roles.collect()} == {(5, "eager", 8), (6, "lazy", 8), (7, "lazy", 8)}
+
+
+def test_eviction_picks_deal_their_joins_out_once(spark):
+    joins = spark.createDataFrame([(1, p, t, t) for t, p in enumerate([5, 6, 7, 8, 9, 10, 11, 12, 12])] + [(2, 5, 0, 0)], "node long, peer long, ts long, seq long")
+    roles = membership.ring_flags(membership.topology(joins, 1, 7))
+    picked = membership.eviction_pick(roles)
+    first = spark.createDataFrame([(1, 12)], "node long, newcomer long")
+    assert exchanges(picked) == 1
+    assert picked.collect() == membership.eviction_pick(roles, first).collect() and picked.first()["newcomer"] == 12
